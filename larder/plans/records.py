@@ -8,12 +8,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.functions import ids
+from larder.operators.nested import Child, flatten_columns, flatten_lines
 from larder.operators.orphans import Parent, orphan_report, orphan_rows
 from larder.operators.skew import skew_safe_profile
 from larder.plans.sqlparts import CLEAN_IDS, CUISINE_NAMES
 from larder.session import table
 
 
+RECORD = Child("user_record", ("vendor_id", "cuisine"), ("vendor_id", "cuisine", "slot"))
+RESULT = {
+    "order_history_tuples": Child("history", ("vendor_id", "cuisine"), ("vendor_id", "cuisine", "slot")),
+    "lightgcn_top_cuisines": Child("cuisine", ("cuisine",), ("cuisine", "score")),
+    "similar_users": Child("user", ("user_id",), ("user_id", "similarity", "record_count", "records"), {"records": RECORD}),
+}
+
+
+def _children(spark: SparkSession, d: str, detail: bool) -> DataFrame:
+    detailed = flatten_columns(table(spark, d, "stage9_repeat_detailed"), "result_id", RESULT, detail)
+    raw = flatten_lines(table(spark, d, "stage9_repeat_raw"), "line_id", "line", RESULT, detail)
+    return detailed.withColumn("src", F.lit("detailed")).unionByName(raw.withColumn("src", F.lit("raw")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _children(spark, d, False).select("src", "rec_id", "child", "parent_pos", "pos", "item_key")
+
+
+def p1_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The child tables with each element's own JSON text, from which its other fields can be read."""
+    return _children(spark, d, True)
+
+
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "food_orders").select("vendor_id", "cuisine", "customer_id", "order_id", "unit_price")
     named = ids.with_canonical(rows, "cuisine", "cuisine_name", table(spark, d, "vendors"), "primary_cuisine")
@@ -82,4 +106,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_profile": p5_profile, "p6_found": p6_found, "p6_report": p6_report}
+    return {"p1_found": p1_found, "p1_tables": p1_tables, "p5_found": p5_found, "p5_profile": p5_profile, "p6_found": p6_found, "p6_report": p6_report}
