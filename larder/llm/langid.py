@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.text import DIMS, LANGUAGES, grams, label_code, labelled_sentences, letters_only, plain, row_sums, sentences, substance
+from larder.llm.text import DIMS, LANGUAGES, chunked_grams, grams, label_code, labelled_sentences, letters_only, plain, row_sums, sentences, substance
 
-#: Clusters per language, sentences per language used to fit them, and rounds of fitting.
-CLUSTERS, PER_LANGUAGE, ROUNDS = 4, 4000, 4
+#: Clusters per language and rounds of fitting.
+CLUSTERS, ROUNDS = 8, 4
 #: Least cosine with the nearest centroid of a sentence with a language of its own.
 LEAST_COSINE = 0.10
 #: Cost of a change of language between two sentences, in cosine.
@@ -51,44 +51,40 @@ class Centroids:
         return out
 
 
-def _weights(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    row, dim, count = grams(texts)
-    w = (1 + np.log(count)) * idf[dim]
-    norm = np.sqrt(row_sums(row, w * w, len(texts)))
-    return row, dim, (w / np.maximum(norm[row], 1e-9)).astype(np.float32)
-
-
 def _mean(row: np.ndarray, dim: np.ndarray, w: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
     """Unit-length means of the texts in groups 0..k-1 (negative: none)."""
     g = group[row]
     ok = g >= 0
-    m = np.bincount(g[ok] * DIMS + dim[ok], w[ok], k * DIMS).reshape(k, DIMS)
+    m = np.bincount(g[ok].astype(np.int64) * DIMS + dim[ok], w[ok], k * DIMS).reshape(k, DIMS)
     return (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def fit(labelled: list[tuple[str, str]], clusters: int = CLUSTERS, per_language: int = PER_LANGUAGE) -> Centroids:
+def fit(labelled: list[tuple[str, str]], clusters: int = CLUSTERS) -> Centroids:
     """Centroids from labelled sentences, of which some labels may be wrong.
 
     Sentences nearer to another language's mean than to their own are left out
     before clustering; each sentence also counts without its accents.
     """
-    texts, lang, seen = [], [], {k: 0 for k in LANGUAGES}
+    texts, lang = [], []
     for code, t in labelled:
-        if seen[code] < per_language:
-            seen[code] += 1
-            for x in {t, plain(t)}:
-                texts.append(x)
-                lang.append(LANGUAGES.index(code))
+        for x in dict.fromkeys((t, plain(t))):
+            texts.append(x)
+            lang.append(LANGUAGES.index(code))
     if not texts:
         return Centroids(np.ones(DIMS), np.zeros((DIMS, 1), np.float32), np.array([0]))
     lang = np.array(lang)
-    row, dim, _ = grams(texts)
+    row, dim, count = chunked_grams(texts)
     df = np.bincount(dim, minlength=DIMS)
     idf = np.log((1 + len(texts)) / (1 + df)) + 0.1
-    row, dim, w = _weights(texts, idf)
+    w = ((1 + np.log(count)) * idf[dim]).astype(np.float32)
+    norm = np.sqrt(row_sums(row, w * w, len(texts)))
+    w /= np.maximum(norm[row], 1e-9)
 
     def near(centres: np.ndarray) -> np.ndarray:
-        return row_sums(row, centres.T[dim] * w[:, None], len(texts))
+        out = np.zeros((len(texts), len(centres)), np.float32)
+        for k, c in enumerate(centres):
+            out[:, k] = row_sums(row, c[dim] * w, len(texts))
+        return out
 
     keep = lang
     for _ in range(3):
@@ -152,7 +148,7 @@ def language_segments(docs: DataFrame, model: Centroids) -> DataFrame:
     no rows; repeated documents give repeated rows; texts of any length are read
     whole. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x CLUSTERS x 8 floats, 4 MB at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x CLUSTERS x 8 floats, 8 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -26,8 +26,10 @@ LABELS = {
 # Codes of "no or unknown language".
 NO_LANGUAGE = (*NO_VALUE, "und", "zxx", "mis", "mul", "xx", "other")
 
-#: Labelled rows used to fit a language model (the rows with the smallest hash of their id).
-LABELLED_ROWS = 6000
+#: Labelled rows used to fit a language model (the rows with the smallest hash of their id), and sentences of a language among them.
+LABELLED_ROWS, LABELLED_SENTENCES = 6000, 1200
+#: Texts whose n-grams are made at once; bounds the memory of a fit.
+CHUNK = 1000
 
 BITS = 15
 DIMS = 1 << BITS
@@ -108,17 +110,30 @@ def row_sums(row: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def labelled_sentences(docs: DataFrame, rows: int = LABELLED_ROWS) -> list[tuple[str, str]]:
-    """(language, letters of a sentence) from at most ``rows`` documents with a usable label."""
+def chunked_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same as ``grams`` in small steps and compact types."""
+    parts = [(at, grams(texts[at : at + CHUNK])) for at in range(0, len(texts), CHUNK)]
+    join = lambda i, kind: np.concatenate([(g[i] + at if i == 0 else g[i]).astype(kind) for at, g in parts]) if parts else np.zeros(0, kind)
+    return join(0, np.int32), join(1, np.int32), join(2, np.int32)
+
+
+def labelled_sentences(docs: DataFrame, rows: int = LABELLED_ROWS, per_language: int = LABELLED_SENTENCES) -> list[tuple[str, str]]:
+    """(language, letters of a sentence) from at most ``rows`` documents with a usable label.
+
+    At most ``per_language`` sentences of each language, in the order of the documents' hashes; sentences that
+    recur count each time, so that common ones keep their weight.
+    """
     names = [n for v in LABELS.values() for n in v]
     head = F.element_at(F.split(F.lower(F.trim("lang")), "[-_ ]"), 1)
     usable = docs.filter(head.isin(names) & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
     sample = usable.orderBy("h", "doc_id").limit(rows).select("lang", "text").collect()
-    out = []
+    out: list[tuple[str, str]] = []
+    seen = dict.fromkeys(LANGUAGES, 0)
     for r in sample:
         code = label_code(r.lang)
-        for s in sentences(r.text):
+        for s in sentences(r.text) if seen[code] < per_language else ():
             t = letters_only(s)
             if substance(t)[0] >= 4:
                 out.append((code, t))
+                seen[code] += 1
     return out
