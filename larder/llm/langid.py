@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.text import DIMS, LANGUAGES, chunked_grams, grams, label_code, labelled_sentences, letters_only, plain, row_sums, sentences, substance
+from larder.llm.text import DIMS, LANGUAGES, chunked_grams, grams, label_code, labelled_documents, letters_only, plain, row_sums, sentences, substance
 
 #: Clusters per language and rounds of fitting.
 CLUSTERS, ROUNDS = 8, 4
+#: Cost of a change of language between sentences while fitting, and least part of a language's sentences in a cluster.
+FIT_COST, LEAST_CLUSTER = 0.15, 0.02
 #: Least cosine with the nearest centroid of a sentence with a language of its own.
 LEAST_COSINE = 0.10
 #: Cost of a change of language between two sentences, in cosine.
@@ -59,20 +61,18 @@ def _mean(row: np.ndarray, dim: np.ndarray, w: np.ndarray, group: np.ndarray, k:
     return (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-def fit(labelled: list[tuple[str, str]], clusters: int = CLUSTERS) -> Centroids:
-    """Centroids from labelled sentences, of which some labels may be wrong.
+def fit(labelled: list[tuple[str, list[str]]], clusters: int = CLUSTERS) -> Centroids:
+    """Centroids from the sentences of labelled documents, some of which are in another language than their label.
 
-    Sentences nearer to another language's mean than to their own are left out
-    before clustering; each sentence also counts without its accents.
+    Each document is first read with the means of all languages; stretches of it
+    that are clearly in another language are left out, and after clustering so
+    are clusters of very few sentences. Each sentence also counts without accents.
     """
-    texts, lang = [], []
-    for code, t in labelled:
-        for x in dict.fromkeys((t, plain(t))):
-            texts.append(x)
-            lang.append(LANGUAGES.index(code))
+    labelled = [(c, own) for c, own in labelled if own]
+    texts = [x for _, own in labelled for t in own for x in (t, plain(t))]
+    lang = np.array([LANGUAGES.index(c) for c, own in labelled for _ in range(2 * len(own))], np.int64)
     if not texts:
         return Centroids(np.ones(DIMS), np.zeros((DIMS, 1), np.float32), np.array([0]))
-    lang = np.array(lang)
     row, dim, count = chunked_grams(texts)
     df = np.bincount(dim, minlength=DIMS)
     idf = np.log((1 + len(texts)) / (1 + df)) + 0.1
@@ -86,11 +86,13 @@ def fit(labelled: list[tuple[str, str]], clusters: int = CLUSTERS) -> Centroids:
             out[:, k] = row_sums(row, c[dim] * w, len(texts))
         return out
 
-    keep = lang
+    keep, words = lang, np.full(len(texts), FULL_WORDS)
+    ends = np.cumsum([2 * len(own) for _, own in labelled])
     for _ in range(3):
         score = near(_mean(row, dim, w, keep, len(LANGUAGES)))
         score[:, np.bincount(lang, minlength=len(LANGUAGES)) == 0] = -1
-        keep = np.where(score.argmax(axis=1) == lang, lang, -1)
+        path = np.concatenate([best_path(score[i:j], words[i:j], FIT_COST) for i, j in zip(np.r_[0, ends[:-1]], ends)])
+        keep = np.where(path == lang, lang, -1)
     centres, owner = [], []
     for k in range(len(LANGUAGES)):
         mine = np.flatnonzero(keep == k)
@@ -102,19 +104,19 @@ def fit(labelled: list[tuple[str, str]], clusters: int = CLUSTERS) -> Centroids:
         for _ in range(ROUNDS):
             score = near(_mean(row, dim, w, part, n))[mine]
             part[mine] = score.argmax(axis=1)
-        m = _mean(row, dim, w, part, n)
-        m = m[np.abs(m).sum(axis=1) > 0]
+        size = np.bincount(part[mine], minlength=n)
+        m = _mean(row, dim, w, part, n)[size >= max(1, LEAST_CLUSTER * len(mine))]
         centres.append(m)
         owner += [k] * len(m)
     return Centroids(idf, np.ascontiguousarray(np.concatenate(centres).T), np.array(owner))
 
 
-def best_path(cos: np.ndarray, words: np.ndarray) -> np.ndarray:
+def best_path(cos: np.ndarray, words: np.ndarray, cost: float = CHANGE_COST) -> np.ndarray:
     """The language of each sentence of a document: its own evidence less a cost for every change (Viterbi)."""
     gain = np.where(cos.max(axis=1, keepdims=True) < LEAST_COSINE, 0, cos) * np.minimum(1, words / FULL_WORDS)[:, None]
     score, back = gain[0], []
     for g in gain[1:]:
-        moved = score.max() - CHANGE_COST
+        moved = score.max() - cost
         back.append(np.where(score >= moved, np.arange(len(score)), score.argmax()))
         score = np.maximum(score, moved) + g
     path = [int(score.argmax())]
@@ -174,5 +176,5 @@ def language_segments(docs: DataFrame, model: Centroids) -> DataFrame:
 
 def fit_on(docs: DataFrame, extra: DataFrame | None = None) -> Centroids:
     """Centroids fitted on a bounded sample of labelled documents (LABELLED_ROWS of larder.llm.text) and of ``extra``."""
-    more = labelled_sentences(extra) if extra is not None else []
-    return fit(more + labelled_sentences(docs))
+    more = labelled_documents(extra) if extra is not None else []
+    return fit(more + labelled_documents(docs))

@@ -117,23 +117,25 @@ def chunked_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return join(0, np.int32), join(1, np.int32), join(2, np.int32)
 
 
-def labelled_sentences(docs: DataFrame, rows: int = LABELLED_ROWS, per_language: int = LABELLED_SENTENCES) -> list[tuple[str, str]]:
-    """(language, letters of a sentence) from at most ``rows`` documents with a usable label.
+def labelled_documents(docs: DataFrame, rows: int = LABELLED_ROWS, per_language: int = LABELLED_SENTENCES) -> list[tuple[str, list[str]]]:
+    """(language, letters of the sentences) of at most ``rows`` documents with a usable label.
 
-    At most ``per_language`` sentences of each language, in the order of the documents' hashes; sentences that
-    recur count each time, so that common ones keep their weight.
+    Documents are taken in the order of the hashes of their ids, of each language
+    until ``per_language`` sentences are reached.
     """
     names = [n for v in LABELS.values() for n in v]
     head = F.element_at(F.split(F.lower(F.trim("lang")), "[-_ ]"), 1)
-    usable = docs.filter(head.isin(names) & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id")
+    # A hash threshold leaves a few times the bound, so that no task sends more than its part of that to the driver.
+    part = min(1.0, 4 * rows / max(1, docs.count()))
+    h = F.xxhash64("doc_id")
+    usable = docs.filter((F.pmod(h, F.lit(1_000_000)) < F.lit(int(part * 1_000_000) + 1)) & head.isin(names) & F.col("text").isNotNull()).select("lang", "text", h.alias("h"), "doc_id")
     sample = usable.orderBy("h", "doc_id").limit(rows).select("lang", "text").collect()
-    out: list[tuple[str, str]] = []
+    out: list[tuple[str, list[str]]] = []
     seen = dict.fromkeys(LANGUAGES, 0)
     for r in sample:
         code = label_code(r.lang)
-        for s in sentences(r.text) if seen[code] < per_language else ():
-            t = letters_only(s)
-            if substance(t)[0] >= 4:
-                out.append((code, t))
-                seen[code] += 1
+        if seen[code] < per_language:
+            own = [t for t in map(letters_only, sentences(r.text)) if substance(t)[0] >= 4]
+            out.append((code, own))
+            seen[code] += len(own)
     return out
