@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.plans import records
+from larder.plans import metric_queries, profile_queries, ranking_queries, records, sample_queries, source_queries
+
+_MODULES = (profile_queries, sample_queries, metric_queries, ranking_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return records.queries()
+    out = dict(records.queries())
+    for m in _MODULES:
+        out |= m.R.queries
+    return out
 
 
 def oracle_sql() -> dict[str, str]:
-    return records.oracle_sql()
+    out = dict(records.oracle_sql())
+    for m in _MODULES:
+        out |= m.R.sql
+    return out
