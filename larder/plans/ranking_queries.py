@@ -12,7 +12,7 @@ from larder.session import table
 
 R = Registry()
 r6 = lambda c: F.round(c, 6)
-EMPTY = F.array().cast("array<string>")
+empty = lambda: F.array().cast("array<string>")
 
 
 @R.add(f"WITH {OI} SELECT vendor_geohash, cuisine, vendor_id, CAST(row_number() OVER (PARTITION BY vendor_geohash, cuisine ORDER BY vendor_id) AS INT) AS pos FROM (SELECT DISTINCT vendor_geohash, cuisine, vendor_id FROM oi)")
@@ -59,8 +59,8 @@ _TOP2 = "top2 AS (SELECT result_id, list(cuisine ORDER BY rank) AS freq FROM (SE
 @R.add(f"WITH {_HIST}, {_TOP2}, p AS (SELECT r.result_id, [x FOR x IN coalesce(r.round1_predicted_cuisines, []) IF x IS NOT NULL] AS p, coalesce(t.freq, []) AS f FROM res r LEFT JOIN top2 t USING (result_id)), m AS (SELECT *, [x FOR x IN f IF NOT list_contains(p, x)][1] AS miss FROM p) SELECT result_id, array_to_string(CASE WHEN miss IS NULL THEN p WHEN len(p) = 0 THEN [miss] ELSE list_append(p[1:len(p) - 1], miss) END, ',') AS cuisines FROM m")
 def rank_frequency_ensemble(s, d):
     top = ranking.most_common(history(s, d), "result_id", "cuisine", "pos", 2).groupBy("result_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cuisine"))), lambda x: x["cuisine"]).alias("f"))
-    p = results(s, d).select("result_id", F.filter(F.coalesce("round1_predicted_cuisines", EMPTY), lambda x: x.isNotNull()).alias("p")).join(top, "result_id", "left")
-    return p.select("result_id", F.array_join(ranking.with_frequent(F.col("p"), F.coalesce("f", EMPTY)), ",").alias("cuisines"))
+    p = results(s, d).select("result_id", F.filter(F.coalesce("round1_predicted_cuisines", empty()), lambda x: x.isNotNull()).alias("p")).join(top, "result_id", "left")
+    return p.select("result_id", F.array_join(ranking.with_frequent(F.col("p"), F.coalesce("f", empty())), ",").alias("cuisines"))
 
 
 _CANDS = f"{_HIST}, cands AS (SELECT result_id, list(item ORDER BY first_pos) AS c FROM (SELECT result_id, vendor_id || '||' || cuisine AS item, min(pos) AS first_pos FROM hist WHERE vendor_id IS NOT NULL AND cuisine IS NOT NULL GROUP BY 1, 2) GROUP BY 1)"
@@ -107,7 +107,7 @@ _PEERS = f"{RES}, peers AS (SELECT result_id, CAST(pi AS INT) AS peer_pos, CAST(
 @R.add(f"WITH {_PEERS}, l AS (SELECT *, row_number() OVER (PARTITION BY result_id, peer_pos ORDER BY pos DESC) AS back FROM peers), k AS (SELECT * FROM l WHERE back <= 5), n AS (SELECT result_id, peer_pos, count(*) AS n FROM k GROUP BY 1, 2), r AS (SELECT result_id, peer_pos, 20 - coalesce(sum(n) OVER (PARTITION BY result_id ORDER BY peer_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM n) SELECT k.result_id, k.peer_pos, k.pos, k.vendor_id, k.cuisine FROM k JOIN r USING (result_id, peer_pos) WHERE back <= room")
 def rank_peer_evidence(s, d):
     """Records of similar users in the predicted cuisines: five a user, twenty in all."""
-    r = results(s, d).select("result_id", F.transform(F.filter(F.coalesce("round1_predicted_cuisines", EMPTY), lambda x: x.isNotNull()), lambda x: F.lower(x)).alias("p"), F.posexplode("similar_users").alias("pi", "u"))
+    r = results(s, d).select("result_id", F.transform(F.filter(F.coalesce("round1_predicted_cuisines", empty()), lambda x: x.isNotNull()), lambda x: F.lower(x)).alias("p"), F.posexplode("similar_users").alias("pi", "u"))
     e = r.filter("u is not null").select(F.col("result_id").alias("sample"), "p", (F.col("pi") + 1).alias("peer_pos"), F.posexplode("u.records").alias("ri", "r")).filter("r is not null").select("sample", "p", "peer_pos", (F.col("ri") + 1).alias("pos"), "r.vendor_id", F.lower("r.cuisine").alias("cuisine"))
     e = e.filter(F.array_contains("p", F.col("cuisine")))
     return ranking.capped_evidence(e, 5, 20).select(F.col("sample").alias("result_id"), "peer_pos", "pos", "vendor_id", "cuisine")

@@ -22,9 +22,10 @@ def scan_text_lengths(s, d):
     return table(s, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min(n).alias("least"), F.max(n).alias("most"), F.round(F.avg(n), 6).alias("mean"))
 
 
-@R.add("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS sum_value FROM events GROUP BY 1, 2")
+@R.add("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS sum_value FROM events GROUP BY 1, 2")
 def stream_hourly_counts(s, d):
     """The aggregation of the streaming job ``hourly_counts`` over the whole table at once."""
     from larder.streaming.jobs import windowed
 
-    return windowed(table(s, d, "events"), "1 hour").withColumn("sum_value", F.round("sum_value", 4))
+    out = windowed(table(s, d, "events"), "1 hour")
+    return out.withColumns({"sum_value": F.round("sum_value", 4), "window_start": F.date_format("window_start", "yyyy-MM-dd HH:mm:ss")})
