@@ -55,7 +55,7 @@ def budgets(sized: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     whole = all_sources.agg(F.max("total").alias("total"))
     b = F.broadcast(targets.groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))).join(have, "source", "left").crossJoin(F.broadcast(whole)).fillna(0, ["n_docs", "available"])
     b = b.withColumn("budget", F.least(F.floor(F.col("target_share") * F.coalesce("total", F.lit(0.0))), F.col("max_repeats") * F.col("available")).cast("long"))
-    epochs = F.when(F.col("available") > 0, F.floor(F.col("budget") / F.col("available"))).otherwise(0).cast("int")
+    epochs = F.when(F.col("available") > 0, F.floor(F.try_divide(F.col("budget"), F.col("available")))).otherwise(0).cast("int")
     return b.withColumn("epochs", epochs).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("available")).drop("total")
 
 
@@ -94,7 +94,7 @@ def shares(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None
     """Target and actual share of every source of ``targets`` in the mixture, with its sizes in tokens."""
     mixed = mix(sized, targets, total_tokens, seed).groupBy("source").agg(F.count(F.lit(1)).alias("docs_used"), F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_copies"))
     both = budgets(sized, targets, total_tokens).join(mixed, "source", "left").fillna(0, ["docs_used", "mixed_tokens", "most_copies"])
-    actual = F.col("mixed_tokens") / F.sum("mixed_tokens").over(Window.partitionBy())  # one row per source
+    actual = F.coalesce(F.try_divide(F.col("mixed_tokens"), F.sum("mixed_tokens").over(Window.partitionBy())), F.lit(0.0))  # one row per source
     return both.select("source", "target_share", "max_repeats", "n_docs", "available", "budget", "epochs", "docs_used", "most_copies", "mixed_tokens", F.round(actual, 6).alias("actual_share"))
 
 
