@@ -64,7 +64,7 @@ def disagreements(rows: DataFrame, label: str, base: str, tuned: str) -> DataFra
 def length_summary(rows: DataFrame, column: str, limit: int) -> DataFrame:
     """Count, extremes, mean and exact interpolated percentiles of a length, and how many exceed ``limit``."""
     c = F.col(column)
-    return rows.filter(c.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("least"), F.max(c).alias("most"), F.avg(c).alias("mean"), *[F.percentile(c, F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)], F.count_if(c > limit).alias("n_over"), (100.0 * F.count_if(c > limit) / F.count(F.lit(1))).alias("pct_over"))
+    return rows.filter(c.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("least"), F.max(c).alias("most"), F.avg(c).alias("mean"), *[F.percentile(c, F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)], F.count_if(c > limit).alias("n_over"), F.coalesce(F.try_divide(100.0 * F.count_if(c > limit), F.count(F.lit(1))), F.lit(0.0)).alias("pct_over"))
 
 
 def nearest_percentiles(rows: DataFrame, column: str, parts: int) -> DataFrame:
