@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 # Writings that stand for "no value" once trimmed and lower-cased.
 NO_VALUE = ("", "-", "--", "?", ".", "n/a", "na", "nan", "nil", "none", "null", "unknown", "undefined", "tbd", "<na>")
 SHARED_ACCOUNT = "guest"
+BLANKS = " \t\n\r\f\x0b\u00a0"
 
 #: Vocabularies up to this size are matched inside the row expression; larger ones by a join.
 VOCABULARY_BOUND = 2000
@@ -17,7 +18,7 @@ VOCABULARY_BOUND = 2000
 
 def clean_id(c: Column) -> Column:
     """Lower case without surrounding blanks; blanks and placeholders give null."""
-    t = F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    t = F.lower(F.btrim(c, F.lit(BLANKS)))
     return F.when(t.isin(*NO_VALUE), None).otherwise(t)
 
 

@@ -10,9 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from larder.session import shuffle_width
+
 ALPHA1, ALPHA2, BETA = 5.0, 1.0, 0.3
 
 
+def _placed(df: DataFrame, shared: str) -> DataFrame:
+    """Partitioned by the shared element with a fixed number of partitions: pairs are many more than rows, so
+    partitions must not be coalesced by the size of their input."""
+    return df.repartition(shuffle_width(df.sparkSession), shared)
+
+
 def degrees(edges: DataFrame, key: str) -> DataFrame:
     return edges.groupBy(key).agg(F.count(F.lit(1)).alias("deg"))
 
@@ -28,12 +36,12 @@ def swing(edges: DataFrame, entity: str, shared: str, queries: DataFrame | None
     pop = degrees(edges, shared).select(shared, (1.0 / (F.col("deg") + alpha2)).alias("w"))
     weighted = edges.join(pop, shared)
     size = degrees(edges, entity).select(entity, F.pow(F.col("deg") + alpha1, F.lit(-beta)).alias("s"))
-    left = weighted.select(F.col(entity).alias("a"), shared, "w")
-    right = edges.select(F.col(entity).alias("b"), shared)
+    left = _placed(weighted.select(F.col(entity).alias("a"), shared, "w"), shared)
+    right = _placed(edges.select(F.col(entity).alias("b"), shared), shared)
     if queries is None:
         raw = left.join(right, shared).filter("a < b").groupBy("a", "b").agg(F.sum("w").alias("raw"))
     else:
-        own = left.join(queries.select(F.col(entity).alias("a")), "a", "left_semi")
+        own = _placed(weighted.join(queries.select(entity), entity, "left_semi").select(F.col(entity).alias("a"), shared, "w"), shared)
         raw = own.join(right, shared).filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("raw"))
     scaled = raw.join(size.select(F.col(entity).alias("a"), F.col("s").alias("sa")), "a").join(size.select(F.col(entity).alias("b"), F.col("s").alias("sb")), "b").select("a", "b", (F.col("raw") * F.col("sa") * F.col("sb")).alias("sim"))
     return scaled if queries is not None else mirrored(scaled)
@@ -48,16 +56,16 @@ def mirrored(pairs: DataFrame) -> DataFrame:
 def cosine(counts: DataFrame, entity: str, shared: str, queries: DataFrame) -> DataFrame:
     """(a, b, sim) of count vectors; ``counts`` holds (entity, shared, n)."""
     norm = counts.groupBy(entity).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
-    left = counts.join(queries.select(entity), entity, "left_semi").select(F.col(entity).alias("a"), shared, F.col("n").alias("na"))
-    dots = left.join(counts.select(F.col(entity).alias("b"), shared, F.col("n").alias("nb")), shared).filter("a <> b").groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
+    left = _placed(counts.join(queries.select(entity), entity, "left_semi").select(F.col(entity).alias("a"), shared, F.col("n").alias("na")), shared)
+    dots = left.join(_placed(counts.select(F.col(entity).alias("b"), shared, F.col("n").alias("nb")), shared), shared).filter("a <> b").groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
     return dots.join(norm.select(F.col(entity).alias("a"), F.col("norm").alias("x")), "a").join(norm.select(F.col(entity).alias("b"), F.col("norm").alias("y")), "b").select("a", "b", (F.col("dot") / (F.col("x") * F.col("y"))).alias("sim"))
 
 
 def jaccard(edges: DataFrame, entity: str, shared: str, queries: DataFrame) -> DataFrame:
     """(a, b, sim) of sets; ``edges`` holds distinct (entity, shared)."""
     deg = degrees(edges, entity)
-    left = edges.join(queries.select(entity), entity, "left_semi").select(F.col(entity).alias("a"), shared)
-    both = left.join(edges.select(F.col(entity).alias("b"), shared), shared).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    left = _placed(edges.join(queries.select(entity), entity, "left_semi").select(F.col(entity).alias("a"), shared), shared)
+    both = left.join(_placed(edges.select(F.col(entity).alias("b"), shared), shared), shared).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     out = both.join(deg.select(F.col(entity).alias("a"), F.col("deg").alias("x")), "a").join(deg.select(F.col(entity).alias("b"), F.col("deg").alias("y")), "b")
     return out.select("a", "b", (F.col("n") / (F.col("x") + F.col("y") - F.col("n"))).alias("sim"))
 
@@ -74,7 +82,13 @@ def history_candidates(seen: DataFrame, similar: DataFrame, per_seed: int, most:
 
     ``seen`` holds distinct (customer_id, item), ``similar`` (a, b, sim) of items.
     """
-    near = seen.join(similar, seen["item"] == similar["a"]).select("customer_id", "a", "b", "sim")
+    # A seed's nearest unseen items stand among its first per_seed + |history| neighbours.
+    size = seen.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_seen"))
+    most_seen = F.broadcast(size.agg(F.max("n_seen").alias("most_seen")))  # one row
+    by_rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("sim", 12)), "b"))
+    first = similar.withColumn("at", by_rank).crossJoin(most_seen).filter(F.col("at") <= F.col("most_seen") + per_seed)
+    sized = seen.join(size, "customer_id")
+    near = sized.join(first, (sized["item"] == first["a"]) & (first["at"] <= sized["n_seen"] + per_seed)).select("customer_id", "a", "b", "sim")
     fresh = near.join(seen.select("customer_id", F.col("item").alias("b")), ["customer_id", "b"], "left_anti")
     seed = Window.partitionBy("customer_id", "a").orderBy(F.desc(F.round("sim", 12)), "b")
     best = fresh.withColumn("rn", F.row_number().over(seed)).filter(F.col("rn") <= per_seed).groupBy("customer_id", "b").agg(F.max("sim").alias("score"))

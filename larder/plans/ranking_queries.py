@@ -8,7 +8,7 @@ from larder.functions import scalars
 from larder.operators import graph, profiles, ranking, similarity
 from larder.plans.canonical import OI, RES, Registry, order_items, results, train
 from larder.plans.sample_queries import _SWING, vendor_edges
-from larder.session import table
+from larder.session import durable, table
 
 R = Registry()
 r6 = lambda c: F.round(c, 6)
@@ -202,7 +202,7 @@ def rank_customer_lookups(s, d):
 # --- graph
 
 def _edges(s, d):
-    return train(s, d).select(F.col("customer_id").alias("user"), F.col("vendor_id").alias("item")).distinct()
+    return durable(train(s, d).select(F.col("customer_id").alias("user"), F.col("vendor_id").alias("item")).distinct())
 
 
 _ADJ = "ed AS (SELECT DISTINCT customer_id AS u, vendor_id AS i FROM train), fw AS (SELECT 'u:' || ed.u AS src, 'i:' || ed.i AS dst, 1.0::DOUBLE / sqrt(a.n::DOUBLE * b.n) AS w FROM ed JOIN (SELECT u, count(*) AS n FROM ed GROUP BY 1) a USING (u) JOIN (SELECT i, count(*) AS n FROM ed GROUP BY 1) b USING (i)), adj AS (SELECT src, dst, w FROM fw UNION ALL SELECT dst, src, w FROM fw)"
@@ -219,7 +219,7 @@ _STEP = "SELECT a.src AS node, sum(a.w * l.x) AS x, l.j FROM adj a JOIN {0} l ON
 
 @R.add(f"WITH {OI}, {_ADJ}, l0 AS ({_V0}), l1 AS ({_STEP.format('l0')}), l2 AS ({_STEP.format('l1')}), l3 AS ({_STEP.format('l2')}) SELECT node, CAST(j AS INT) AS j, round(sum(x) / 4.0::DOUBLE, 6) AS x FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) GROUP BY 1, 2")
 def graph_propagation(s, d):
-    adj = graph.normalised_edges(_edges(s, d))
+    adj = durable(graph.normalised_edges(_edges(s, d)))
     v = graph.propagate(adj, graph.initial_vectors(adj, 4), 3, 4)
     return v.select("node", F.posexplode("v").alias("j", "x")).withColumn("x", r6("x"))
 

@@ -12,7 +12,7 @@ from larder.operators.nested import Child, flatten_columns, flatten_lines
 from larder.operators.orphans import Parent, orphan_report, orphan_rows
 from larder.operators.skew import skew_safe_profile
 from larder.plans.sqlparts import CLEAN_IDS, CUISINE_NAMES
-from larder.session import table
+from larder.session import spread, table
 
 
 RECORD = Child("user_record", ("vendor_id", "cuisine"), ("vendor_id", "cuisine", "slot"))
@@ -24,8 +24,8 @@ RESULT = {
 
 
 def _children(spark: SparkSession, d: str, detail: bool) -> DataFrame:
-    detailed = flatten_columns(table(spark, d, "stage9_repeat_detailed"), "result_id", RESULT, detail)
-    raw = flatten_lines(table(spark, d, "stage9_repeat_raw"), "line_id", "line", RESULT, detail)
+    detailed = flatten_columns(spread(table(spark, d, "stage9_repeat_detailed").select("result_id", *RESULT)), "result_id", RESULT, detail)
+    raw = flatten_lines(spread(table(spark, d, "stage9_repeat_raw").select("line_id", "line")), "line_id", "line", RESULT, detail)
     return detailed.withColumn("src", F.lit("detailed")).unionByName(raw.withColumn("src", F.lit("raw")))
 
 

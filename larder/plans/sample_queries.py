@@ -8,7 +8,7 @@ from larder.functions import scalars
 from larder.operators import profiles, samples, similarity
 from larder.plans.canonical import OI, RES, Registry, order_items, results, test, train
 from larder.plans.profile_queries import ACTIVE, repeat_rows
-from larder.session import table
+from larder.session import durable, table
 
 R = Registry()
 r6 = lambda c: F.round(c, 6)
@@ -144,7 +144,12 @@ _TOP = "SELECT a, b, round(sim, 6) AS sim, CAST(rank AS INT) AS rank FROM (SELEC
 
 
 def vendor_edges(rows):
-    return rows.select("customer_id", "vendor_id").distinct()
+    """Distinct interactions, cut: similarity reads them several times."""
+    return durable(rows.select("customer_id", "vendor_id").distinct())
+
+
+def query_users(s, d):
+    return durable(repeat_rows(s, d).select("customer_id").distinct())
 
 
 @R.add(f"WITH {OI}, {_SWING.format(src='oi')} {_TOP.format(t='sw', k=10)}")
@@ -165,21 +170,21 @@ _ITEM = "vendor_id || '||' || product_id"
 @R.add(f"""WITH {OI}, {ACTIVE}, {_QUERY}, edges AS (SELECT DISTINCT customer_id, {_ITEM} AS item FROM train), du AS (SELECT customer_id, count(*) AS deg FROM edges GROUP BY 1), di AS (SELECT item, count(*) AS deg FROM edges GROUP BY 1),
 sw AS (SELECT x.customer_id AS a, y.customer_id AS b, sum(1.0 / (di.deg + 1.0)) * pow(any_value(p.deg) + 5.0, -0.3) * pow(any_value(q.deg) + 5.0, -0.3) AS sim FROM edges x JOIN edges y ON x.item = y.item AND x.customer_id <> y.customer_id JOIN di ON di.item = x.item JOIN du p ON p.customer_id = x.customer_id JOIN du q ON q.customer_id = y.customer_id WHERE x.customer_id IN (SELECT customer_id FROM query_users) GROUP BY 1, 2) {_TOP.format(t='sw', k=5)}""")
 def cf_user_swing(s, d):
-    edges = train(s, d).select("customer_id", F.concat_ws("||", "vendor_id", "product_id").alias("item")).distinct()
-    return similarity.top_similar(similarity.swing(edges, "customer_id", "item", repeat_rows(s, d).select("customer_id").distinct()), 5).withColumn("sim", r6("sim"))
+    edges = durable(train(s, d).select("customer_id", F.concat_ws("||", "vendor_id", "product_id").alias("item")).distinct())
+    return similarity.top_similar(similarity.swing(edges, "customer_id", "item", query_users(s, d)), 5).withColumn("sim", r6("sim"))
 
 
 @R.add(f"""WITH {OI}, {ACTIVE}, {_QUERY}, c AS (SELECT customer_id, vendor_id, count(*) AS n FROM train GROUP BY 1, 2), nm AS (SELECT customer_id, sqrt(sum(n * n)::DOUBLE) AS norm FROM c GROUP BY 1),
 cs AS (SELECT x.customer_id AS a, y.customer_id AS b, sum(x.n * y.n) / (any_value(p.norm) * any_value(q.norm)) AS sim FROM c x JOIN c y ON x.vendor_id = y.vendor_id AND x.customer_id <> y.customer_id JOIN nm p ON p.customer_id = x.customer_id JOIN nm q ON q.customer_id = y.customer_id WHERE x.customer_id IN (SELECT customer_id FROM query_users) GROUP BY 1, 2) {_TOP.format(t='cs', k=5)}""")
 def cf_user_cosine(s, d):
-    c = train(s, d).groupBy("customer_id", "vendor_id").agg(F.count(F.lit(1)).alias("n"))
-    return similarity.top_similar(similarity.cosine(c, "customer_id", "vendor_id", repeat_rows(s, d).select("customer_id").distinct()), 5).withColumn("sim", r6("sim"))
+    c = durable(train(s, d).groupBy("customer_id", "vendor_id").agg(F.count(F.lit(1)).alias("n")))
+    return similarity.top_similar(similarity.cosine(c, "customer_id", "vendor_id", query_users(s, d)), 5).withColumn("sim", r6("sim"))
 
 
 @R.add(f"""WITH {OI}, {ACTIVE}, {_QUERY}, e AS (SELECT DISTINCT customer_id, vendor_id FROM train), dg AS (SELECT customer_id, count(*) AS deg FROM e GROUP BY 1),
 jc AS (SELECT x.customer_id AS a, y.customer_id AS b, count(*) / (any_value(p.deg) + any_value(q.deg) - count(*)) AS sim FROM e x JOIN e y ON x.vendor_id = y.vendor_id AND x.customer_id <> y.customer_id JOIN dg p ON p.customer_id = x.customer_id JOIN dg q ON q.customer_id = y.customer_id WHERE x.customer_id IN (SELECT customer_id FROM query_users) GROUP BY 1, 2) {_TOP.format(t='jc', k=5)}""")
 def cf_user_jaccard(s, d):
-    return similarity.top_similar(similarity.jaccard(vendor_edges(train(s, d)), "customer_id", "vendor_id", repeat_rows(s, d).select("customer_id").distinct()), 5).withColumn("sim", r6("sim"))
+    return similarity.top_similar(similarity.jaccard(vendor_edges(train(s, d)), "customer_id", "vendor_id", query_users(s, d)), 5).withColumn("sim", r6("sim"))
 
 
 _CAND = f"""seen AS (SELECT DISTINCT customer_id, vendor_id AS item FROM train), near AS (SELECT s.customer_id, sw.a, sw.b, sw.sim FROM seen s JOIN sw ON sw.a = s.item WHERE NOT EXISTS (SELECT 1 FROM seen z WHERE z.customer_id = s.customer_id AND z.item = sw.b)),

@@ -25,6 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with at least as many partitions as the session has cores.
+
+    Files too small to be split would leave heavy per-row work to a few tasks;
+    large inputs have more partitions than cores and stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions for an exchange whose number must be fixed beforehand."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
