@@ -99,13 +99,17 @@ def fit(labelled: list[tuple[str, list[str]]], clusters: int = CLUSTERS) -> Cent
         n = min(clusters, len(mine))
         if not n:
             continue
-        part = np.full(len(texts), -1)
-        part[mine] = np.arange(len(mine)) % n
+        # Only this language's n-grams take part in its clustering.
+        own = keep[row] == k
+        place = np.zeros(len(texts), np.int32)
+        place[mine] = np.arange(len(mine))
+        r, q, x = place[row[own]], dim[own], w[own]
+        part = np.arange(len(mine)) % n
         for _ in range(ROUNDS):
-            score = near(_mean(row, dim, w, part, n))[mine]
-            part[mine] = score.argmax(axis=1)
-        size = np.bincount(part[mine], minlength=n)
-        m = _mean(row, dim, w, part, n)[size >= max(1, LEAST_CLUSTER * len(mine))]
+            score = np.stack([row_sums(r, c[q] * x, len(mine)) for c in _mean(r, q, x, part, n)], axis=1)
+            part = score.argmax(axis=1)
+        size = np.bincount(part, minlength=n)
+        m = _mean(r, q, x, part, n)[size >= max(1, LEAST_CLUSTER * len(mine))]
         centres.append(m)
         owner += [k] * len(m)
     return Centroids(idf, np.ascontiguousarray(np.concatenate(centres).T), np.array(owner))

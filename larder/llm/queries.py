@@ -14,7 +14,7 @@ from larder.llm.leaks import leaked_items
 from larder.llm.mixture import mix, prepared, shares
 from larder.llm.pairs import count_ends, fit_bayes_on, pair_defects
 from larder.llm.runs import collapse_runs
-from larder.session import table
+from larder.session import spread, table
 
 
 def order_events(spark: SparkSession, d: str) -> DataFrame:
@@ -51,7 +51,8 @@ def p3_defects(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "stage9_repeat_detailed")
     # One scan of the two rounds; ids, prompts and responses are all that is read.
     rounds = F.explode(F.array(*[F.struct(F.lit(n).alias("round_no"), F.col(f"round{n}_prompt").alias("prompt"), F.col(f"round{n}_raw_response").alias("response")) for n in (1, 2)]))
-    pairs = rows.select("result_id", rounds.alias("r")).select("result_id", "r.*")
+    read = rows.select("result_id", "round1_prompt", "round1_raw_response", "round2_prompt", "round2_raw_response")
+    pairs = spread(read).select("result_id", rounds.alias("r")).select("result_id", "r.*")
     return pair_defects(pairs, fit_bayes_on(table(spark, d, "documents")), count_ends(pairs))
 
 
@@ -59,29 +60,32 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_defects(spark, d).select("result_id", "round_no", "defect")
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents").select("doc_id", "lang", "source", "text"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leaked_items(_texts(spark, d), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     """Leaking documents per item."""
     items = table(spark, d, "eval_items").select("item_id", "suite", "lang")
-    hits = leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_pieces").alias("most_pieces"))
+    hits = leaked_items(_texts(spark, d), table(spark, d, "eval_items")).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("n_pieces").alias("most_pieces"))
     return items.join(hits, "item_id")
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mix(prepared(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+    return mix(prepared(_texts(spark, d)), table(spark, d, "mix_targets"))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return shares(prepared(table(spark, d, "documents")), table(spark, d, "mix_targets"))
+    return shares(prepared(_texts(spark, d)), table(spark, d, "mix_targets"))
 
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "eval_items").select(F.col("item_id").alias("doc_id"), "lang", "text")
-    docs = table(spark, d, "documents")
-    return language_segments(docs, fit_on(docs, items))
+    return language_segments(_texts(spark, d), fit_on(table(spark, d, "documents"), items))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
