@@ -106,6 +106,13 @@ def fenced(text: Column) -> Column:
     return F.trim(F.when(text.contains("```"), inner).otherwise(text))
 
 
+def predictions(text: Column) -> Column:
+    """``predictions`` of a fenced or plain JSON text: (cuisine, confidence), lower case and trimmed, 0.5 by default, blanks dropped."""
+    parsed = F.from_json(fenced(text), "predictions array<struct<cuisine:string,confidence:double>>")["predictions"]
+    tidy = F.transform(parsed, lambda p: F.struct(F.trim(F.lower(p["cuisine"])).alias("cuisine"), F.coalesce(p["confidence"], F.lit(0.5)).alias("confidence")))
+    return F.filter(tidy, lambda p: F.coalesce(p["cuisine"] != "", F.lit(False)))
+
+
 def word_count(text: Column) -> Column:
     t = F.trim(F.regexp_replace(text, r"\s+", " "))
     return F.when(t == "", 0).otherwise(F.size(F.split(t, " ")))
