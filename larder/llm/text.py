@@ -125,8 +125,8 @@ def labelled_documents(docs: DataFrame, rows: int = LABELLED_ROWS, per_language:
     """
     names = [n for v in LABELS.values() for n in v]
     head = F.element_at(F.split(F.lower(F.trim("lang")), "[-_ ]"), 1)
-    # A hash threshold leaves a few times the bound, so that no task sends more than its part of that to the driver.
-    part = min(1.0, 4 * rows / max(1, docs.count()))
+    # A hash threshold leaves about twice the bound, so that no task sends more than its part of that to the driver.
+    part = min(1.0, 2 * rows / max(1, docs.count()))
     h = F.xxhash64("doc_id")
     usable = docs.filter((F.pmod(h, F.lit(1_000_000)) < F.lit(int(part * 1_000_000) + 1)) & head.isin(names) & F.col("text").isNotNull()).select("lang", "text", h.alias("h"), "doc_id")
     sample = usable.orderBy("h", "doc_id").limit(rows).select("lang", "text").collect()
