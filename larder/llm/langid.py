@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from larder.llm.text import DIMS, LANGUAGES, chunked_grams, grams, label_code, labelled_documents, letters_only, plain, row_sums, sentences, substance
 
 #: Clusters per language and rounds of fitting.
-CLUSTERS, ROUNDS = 8, 4
+CLUSTERS, ROUNDS = 16, 4
 #: Cost of a change of language between sentences while fitting, and least part of a language's sentences in a cluster.
 FIT_COST, LEAST_CLUSTER = 0.15, 0.02
 #: Least cosine with the nearest centroid of a sentence with a language of its own.
@@ -154,13 +154,13 @@ def language_segments(docs: DataFrame, model: Centroids) -> DataFrame:
     no rows; repeated documents give repeated rows; texts of any length are read
     whole. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x CLUSTERS x 8 floats, 8 MB at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x CLUSTERS x 8 floats, 16 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids, labels, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+            for at in range(0, batch.num_rows, 64):
+                ids, labels, texts = (c.to_pylist() for c in batch.slice(at, 64).columns)
                 units = [[letters_only(s) for s in sentences(t)] for t in texts]
                 flat = [u for us in units for u in us]
                 cos = model.cosines(flat) if flat else np.zeros((0, len(LANGUAGES)), np.float32)

@@ -85,12 +85,14 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = []
     h = np.zeros(len(code), np.uint64)
     with np.errstate(over="ignore"):
-        for n in ORDERS:
+        for n in range(1, max(ORDERS) + 1):
             m = len(code) - n + 1
             if m <= 0:
                 break
             h = (h[:m] + code[n - 1 :] + np.uint64(n)) * _MIX
             h ^= h >> np.uint64(29)
+            if n not in ORDERS:
+                continue
             ok = left[:m] >= n
             if n == 1:
                 ok &= code[:m] != 32
