@@ -43,7 +43,11 @@ class Centroids:
         row, dim, count = grams(texts)
         w = (1 + np.log(count)) * self.idf[dim]
         norm = np.sqrt(row_sums(row, w * w, len(texts)))
-        dots = row_sums(row, self.matrix[dim] * w[:, None].astype(np.float32), len(texts))
+        # Text by text, so that the rows of the matrix it needs stay in the processor's cache.
+        dots, light = np.zeros((len(texts), self.matrix.shape[1]), np.float32), w.astype(np.float32)
+        cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+        for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
+            dots[i] = light[lo:hi] @ self.matrix[dim[lo:hi]]
         cos = dots / np.maximum(norm, 1e-9)[:, None]
         out = np.zeros((len(texts), len(LANGUAGES)), np.float32)
         for k in range(len(LANGUAGES)):
@@ -159,8 +163,8 @@ def language_segments(docs: DataFrame, model: Centroids) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                ids, labels, texts = (c.to_pylist() for c in batch.slice(at, 64).columns)
+            for at in range(0, batch.num_rows, 256):
+                ids, labels, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
                 units = [[letters_only(s) for s in sentences(t)] for t in texts]
                 flat = [u for us in units for u in us]
                 cos = model.cosines(flat) if flat else np.zeros((0, len(LANGUAGES)), np.float32)
