@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from larder.llm.text import DIMS, LANGUAGES, chunked_grams, grams, label_code, labelled_documents, letters_only, plain, row_sums, sentences, substance
 
 #: Clusters per language and rounds of fitting.
-CLUSTERS, ROUNDS = 16, 4
+CLUSTERS, ROUNDS = 24, 4
 #: Cost of a change of language between sentences while fitting, and least part of a language's sentences in a cluster.
-FIT_COST, LEAST_CLUSTER = 0.15, 0.02
+FIT_COST, LEAST_CLUSTER = 0.15, 0.004
 #: Least cosine with the nearest centroid of a sentence with a language of its own.
 LEAST_COSINE = 0.10
 #: Cost of a change of language between two sentences, in cosine.
@@ -65,6 +65,13 @@ def _mean(row: np.ndarray, dim: np.ndarray, w: np.ndarray, group: np.ndarray, k:
     return (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
+def _one(dim: np.ndarray, w: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The dense vector of one text."""
+    out = np.zeros(DIMS, np.float32)
+    out[dim[lo:hi]] = w[lo:hi]
+    return out
+
+
 def fit(labelled: list[tuple[str, list[str]]], clusters: int = CLUSTERS) -> Centroids:
     """Centroids from the sentences of labelled documents, some of which are in another language than their label.
 
@@ -108,7 +115,19 @@ def fit(labelled: list[tuple[str, list[str]]], clusters: int = CLUSTERS) -> Cent
         place = np.zeros(len(texts), np.int32)
         place[mine] = np.arange(len(mine))
         r, q, x = place[row[own]], dim[own], w[own]
-        part = np.arange(len(mine)) % n
+        # Start from far sentences (k-means++ with a fixed seed), so that every kind of sentence finds a cluster.
+        cuts = np.searchsorted(r, np.arange(len(mine) + 1))
+        near_to = lambda i: row_sums(r, _one(q, x, cuts[i], cuts[i + 1])[q] * x, len(mine))
+        rng, chosen = np.random.default_rng(k), [0]
+        cos = [near_to(0)]
+        while len(chosen) < n:
+            far = np.maximum(1 - np.max(cos, axis=0), 0) ** 2
+            if far.sum() <= 0:
+                break
+            chosen.append(int(rng.choice(len(mine), p=far / far.sum())))
+            cos.append(near_to(chosen[-1]))
+        part = np.argmax(cos, axis=0)
+        n = len(chosen)
         for _ in range(ROUNDS):
             score = np.stack([row_sums(r, c[q] * x, len(mine)) for c in _mean(r, q, x, part, n)], axis=1)
             part = score.argmax(axis=1)
@@ -158,7 +177,7 @@ def language_segments(docs: DataFrame, model: Centroids) -> DataFrame:
     no rows; repeated documents give repeated rows; texts of any length are read
     whole. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x CLUSTERS x 8 floats, 16 MB at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS x CLUSTERS x 8 floats, 25 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
