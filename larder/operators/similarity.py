@@ -15,10 +15,25 @@ from larder.session import shuffle_width
 ALPHA1, ALPHA2, BETA = 5.0, 1.0, 0.3
 
 
-def _placed(df: DataFrame, shared: str) -> DataFrame:
-    """Partitioned by the shared element with a fixed number of partitions: pairs are many more than rows, so
-    partitions must not be coalesced by the size of their input."""
-    return df.repartition(shuffle_width(df.sparkSession), shared)
+#: Rows of one shared element that meet as one block; longer lists are split into blocks.
+BLOCK = 1024
+
+
+def _met(left: DataFrame, right: DataFrame, shared: str) -> DataFrame:
+    """``left`` (with a) joined to ``right`` (with b) on the shared element.
+
+    The list of an element with more than ``BLOCK`` rows is split on both sides by a hash of a and b, and every pair
+    of blocks is a key of its own, so a long history or a hot item is spread over tasks. The number of partitions is
+    fixed: pairs are many more than rows, so partitions must not be coalesced by the size of their input.
+    """
+    blocks = right.groupBy(shared).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    own = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
+    x = left.join(blocks, shared).withColumn("at_a", own("a")).withColumn("at_b", each).drop("blocks")
+    y = right.join(blocks, shared).withColumn("at_b", own("b")).withColumn("at_a", each).drop("blocks")
+    key = [shared, "at_a", "at_b"]
+    width = shuffle_width(left.sparkSession)
+    return x.repartition(width, *key).join(y.repartition(width, *key), key)
 
 
 def degrees(edges: DataFrame, key: str) -> DataFrame:
@@ -36,13 +51,13 @@ def swing(edges: DataFrame, entity: str, shared: str, queries: DataFrame | None
     pop = degrees(edges, shared).select(shared, (1.0 / (F.col("deg") + alpha2)).alias("w"))
     weighted = edges.join(pop, shared)
     size = degrees(edges, entity).select(entity, F.pow(F.col("deg") + alpha1, F.lit(-beta)).alias("s"))
-    left = _placed(weighted.select(F.col(entity).alias("a"), shared, "w"), shared)
-    right = _placed(edges.select(F.col(entity).alias("b"), shared), shared)
+    left = weighted.select(F.col(entity).alias("a"), shared, "w")
+    right = edges.select(F.col(entity).alias("b"), shared)
     if queries is None:
-        raw = left.join(right, shared).filter("a < b").groupBy("a", "b").agg(F.sum("w").alias("raw"))
+        raw = _met(left, right, shared).filter("a < b").groupBy("a", "b").agg(F.sum("w").alias("raw"))
     else:
-        own = _placed(weighted.join(queries.select(entity), entity, "left_semi").select(F.col(entity).alias("a"), shared, "w"), shared)
-        raw = own.join(right, shared).filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("raw"))
+        own = weighted.join(queries.select(entity), entity, "left_semi").select(F.col(entity).alias("a"), shared, "w")
+        raw = _met(own, right, shared).filter("a <> b").groupBy("a", "b").agg(F.sum("w").alias("raw"))
     scaled = raw.join(size.select(F.col(entity).alias("a"), F.col("s").alias("sa")), "a").join(size.select(F.col(entity).alias("b"), F.col("s").alias("sb")), "b").select("a", "b", (F.col("raw") * F.col("sa") * F.col("sb")).alias("sim"))
     return scaled if queries is not None else mirrored(scaled)
 
@@ -56,16 +71,16 @@ def mirrored(pairs: DataFrame) -> DataFrame:
 def cosine(counts: DataFrame, entity: str, shared: str, queries: DataFrame) -> DataFrame:
     """(a, b, sim) of count vectors; ``counts`` holds (entity, shared, n)."""
     norm = counts.groupBy(entity).agg(F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias("norm"))
-    left = _placed(counts.join(queries.select(entity), entity, "left_semi").select(F.col(entity).alias("a"), shared, F.col("n").alias("na")), shared)
-    dots = left.join(_placed(counts.select(F.col(entity).alias("b"), shared, F.col("n").alias("nb")), shared), shared).filter("a <> b").groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
+    left = counts.join(queries.select(entity), entity, "left_semi").select(F.col(entity).alias("a"), shared, F.col("n").alias("na"))
+    dots = _met(left, counts.select(F.col(entity).alias("b"), shared, F.col("n").alias("nb")), shared).filter("a <> b").groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("dot"))
     return dots.join(norm.select(F.col(entity).alias("a"), F.col("norm").alias("x")), "a").join(norm.select(F.col(entity).alias("b"), F.col("norm").alias("y")), "b").select("a", "b", (F.col("dot") / (F.col("x") * F.col("y"))).alias("sim"))
 
 
 def jaccard(edges: DataFrame, entity: str, shared: str, queries: DataFrame) -> DataFrame:
     """(a, b, sim) of sets; ``edges`` holds distinct (entity, shared)."""
     deg = degrees(edges, entity)
-    left = _placed(edges.join(queries.select(entity), entity, "left_semi").select(F.col(entity).alias("a"), shared), shared)
-    both = left.join(_placed(edges.select(F.col(entity).alias("b"), shared), shared), shared).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    left = edges.join(queries.select(entity), entity, "left_semi").select(F.col(entity).alias("a"), shared)
+    both = _met(left, edges.select(F.col(entity).alias("b"), shared), shared).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     out = both.join(deg.select(F.col(entity).alias("a"), F.col("deg").alias("x")), "a").join(deg.select(F.col(entity).alias("b"), F.col("deg").alias("y")), "b")
     return out.select("a", "b", (F.col("n") / (F.col("x") + F.col("y") - F.col("n"))).alias("sim"))
 

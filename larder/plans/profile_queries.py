@@ -124,12 +124,14 @@ def filter_active_customers(s, d):
     return active(train(s, d))
 
 
-def active(rows, least: int = 5, most: int = 200):
-    return rows.select("customer_id", "order_id").distinct().groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_orders")).filter(F.col("n_orders").between(least, most))
+def active(rows, least: int = 5, most: int | None = None):
+    """Customers with at least ``least`` orders, and at most ``most`` where that is given."""
+    n = rows.select("customer_id", "order_id").distinct().groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_orders")).filter(F.col("n_orders") >= least)
+    return n if most is None else n.filter(F.col("n_orders") <= most)
 
 
-def repeat_rows(s, d):
-    known = train(s, d).join(active(train(s, d)), "customer_id", "left_semi").select("customer_id", "vendor_id").distinct()
+def repeat_rows(s, d, least: int = 5, most: int | None = None):
+    known = train(s, d).join(active(train(s, d), least, most), "customer_id", "left_semi").select("customer_id", "vendor_id").distinct()
     return test(s, d).join(known, ["customer_id", "vendor_id"], "left_semi")
 
 
