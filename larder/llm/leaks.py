@@ -5,7 +5,9 @@ words changed, added or dropped. By the pigeonhole principle a stretch with a
 budget of e errors, cut into e + 1 pieces, has one piece of at least ``PIECE``
 words without any error; all such pieces of all items are looked up exactly in
 every document, and only (document, item) pairs with a hit are verified with
-Myers' bit-parallel edit distance, words taking the place of characters.
+Myers' bit-parallel edit distance, words taking the place of characters. Only
+verified stretches that lie wholly inside an item's opening, the words that it
+shares with other cases, are no leaks; the openings are found over all items.
 """
 
 from __future__ import annotations
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larder.session import durable
+
 #: Least length of a leak and words per allowed error.
 LEAST_WORDS, WORDS_PER_ERROR = 15, 8
 #: Words of an exact piece: the least over all lengths L of L // (L // 8 + 1), with the words left over.
 PIECE = 5
-#: Pieces found in this many items belong to shared instructions and identify none of them.
+#: Words that so many different cases begin with are a shared instruction.
 SHARED = 3
 #: Evaluation sets are small beside corpora; their index is broadcast, so their number is checked.
 MAX_ITEMS = 50_000
@@ -54,18 +58,60 @@ def budgets(longest: int) -> list[tuple[int, int]]:
     return [(n, e) for n, e in out if n <= longest]
 
 
+def _different(a: list[str], b: list[str]) -> bool:
+    """Whether two texts are different cases: at least five pieces of the shorter, and half of them, are not in the other."""
+    x, y = sorted(({tuple(w[at : at + PIECE]) for at in range(len(w) - PIECE + 1)} for w in (a, b)), key=len)
+    return len(x - y) >= max(PIECE, (len(x) + 1) // 2)
+
+
+def _cases(rests: Iterator[list[str]]) -> int:
+    """Different cases among texts, counted up to SHARED."""
+    kept: list[list[str]] = []
+    for r in rests:
+        if all(_different(r, k) for k in kept):
+            kept.append(r)
+            if len(kept) == SHARED:
+                break
+    return len(kept)
+
+
+def openings(texts: list[list[str]]) -> list[int]:
+    """Words of each text that it begins with in common with SHARED - 1 others or more, equal and near-equal texts
+    counting as one."""
+    order = sorted(set(map(tuple, texts)))
+    found = dict.fromkeys(order, 0)
+    todo = [(0, len(order), -1)]
+    while todo:
+        lo, hi, above = todo.pop()
+        first, last = order[lo], order[hi - 1]
+        n = next((j for j, (x, y) in enumerate(zip(first, last)) if x != y), min(len(first), len(last)))
+        if hi - lo < SHARED:
+            continue
+        if n >= PIECE and n > above:
+            if _cases(list(t[n:]) for t in order[lo:hi]) < SHARED:
+                continue
+            found.update((t, n) for t in order[lo:hi])
+        at = lo
+        for k in range(lo + 1, hi + 1):
+            if k == hi or order[k][n : n + 1] != order[at][n : n + 1]:
+                todo.append((at, k, n))
+                at = k
+    return [found[tuple(t)] for t in texts]
+
+
 class Items:
     """Items with the index of their exact pieces."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], opened: list[int] | None = None):
+        """``opened``: words of each item's opening, where it was found over more items than these."""
         self.ids = [i for i, _ in rows]
         self.words = [words(t) for _, t in rows]
+        self.opened = openings(self.words) if opened is None else opened
         where: dict[tuple[str, ...], list[tuple[int, int]]] = defaultdict(list)
         for k, w in enumerate(self.words):
             for at in range(len(w) - PIECE + 1):
                 where[tuple(w[at : at + PIECE])].append((k, at))
-        # A piece of many items is a shared instruction: it points to none.
-        self.pieces = {p: v for p, v in where.items() if len({k for k, _ in v}) < SHARED}
+        self.pieces = dict(where)
         self.first_words = {p[0] for p in self.pieces}
         self._masks: dict[tuple[int, int], dict[str, np.ndarray]] = {}
 
@@ -109,25 +155,55 @@ def least_distance(masks: dict[str, np.ndarray], n: int, region: list[str], lane
     return best
 
 
-def _runs(hits: list[tuple[int, int]]) -> bool:
-    """Whether exact pieces on one diagonal already make a leak without errors."""
+def _runs(hits: list[tuple[int, int]], opened: int) -> bool:
+    """Whether exact pieces on one diagonal already make a leak without errors that goes beyond the opening."""
     by: dict[int, list[int]] = defaultdict(list)
     for at, p in hits:
         by[at - p].append(p)
     for ps in by.values():
         ps = sorted(set(ps))
-        n = 1
-        for a, b in zip(ps, ps[1:]):
+        n = 0
+        for a, b in zip([-2, *ps], ps):
             n = n + 1 if b == a + 1 else 1
-            if n + PIECE - 1 >= LEAST_WORDS:
+            if n + PIECE - 1 >= LEAST_WORDS and b + PIECE > opened:
                 return True
-        if n + PIECE - 1 >= LEAST_WORDS:
+    return False
+
+
+def _behind(items: Items, k: int, m: int, e: int, region: list[str]) -> bool:
+    """Whether the first m words behind an item's opening are in the region, after the opening's last two words.
+
+    A stretch with so few of them that its errors could make up most is the opening alone, met by chance words: at
+    most one in four may be wrong. From m = 4 e on the stretch's own budget says so already.
+    """
+    opened = items.opened[k]
+    if not opened or m // 4 >= e:
+        return True
+    before = min(2, opened)
+    return bool(least_distance(items.masks(k, before + m), before + m, region, np.array([opened - before]))[0] <= m // 4)
+
+
+def _may_go_on(items: Items, k: int, w: list[str], hits: list[tuple[int, int]]) -> bool:
+    """Whether hits that all lie in the opening can belong to a stretch that goes beyond it: the word behind the
+    opening follows its last two, or of the first m words behind it, m at least 4, three in four are near at all."""
+    opened = items.opened[k]
+    if not opened or any(p + PIECE > opened for _, p in hits):
+        return True
+    near = w[max(0, min(at for at, _ in hits) - 140) : max(at for at, _ in hits) + 140]
+    behind, there = items.words[k][opened - 2 : opened + 63], set(near)
+    if behind[2:3] and behind[2] in there and any(near[j : j + 3] == behind[:3] for j in range(len(near) - 2)):
+        return True
+    seen = 0
+    for m, x in enumerate(behind[2:], 1):
+        seen += x in there
+        if m >= 4 and m - seen <= m // 4:
             return True
     return False
 
 
 def _verified(items: Items, k: int, w: list[str], hits: list[tuple[int, int]]) -> bool:
-    if _runs(hits):
+    opened = items.opened[k]
+    if _runs(hits, opened):
         return True
     size = len(items.words[k])
     for n, e in budgets(size):
@@ -141,10 +217,13 @@ def _verified(items: Items, k: int, w: list[str], hits: list[tuple[int, int]]) -
         masks = items.masks(k, n)
         for lo, hi, ps in near:
             starts = np.unique(np.concatenate([np.arange(max(0, p + PIECE - n), min(size - n, p) + 1) for p in ps]))
+            beyond = starts + n - opened  # words of the window behind the opening
+            starts, beyond = starts[beyond > 0], beyond[beyond > 0]
             if not len(starts):
                 continue
             region = w[max(0, lo - n - e) : hi + PIECE + n + e]
-            if (least_distance(masks, n, region, starts) <= e).any():
+            near_enough = least_distance(masks, n, region, starts) <= e
+            if near_enough.any() and any(_behind(items, k, int(m), e, region) for m in np.unique(beyond[near_enough])):
                 return True
     return False
 
@@ -157,7 +236,7 @@ def leaks_of(items: Items, text: str) -> list[tuple[int, int]]:
         if x in items.first_words:
             for k, p in items.pieces.get(tuple(w[at : at + PIECE]), ()):
                 found[k].append((at, p))
-    return [(k, len(hits)) for k, hits in found.items() if _verified(items, k, w, hits)]
+    return [(k, len(hits)) for k, hits in found.items() if _may_go_on(items, k, w, hits) and _verified(items, k, w, hits)]
 
 
 def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -169,22 +248,37 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     rows, equal items each their own. Other columns are not read. More than
     ``MAX_ITEMS`` items are taken in several passes.
     """
-    rows = items.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text").distinct()
+    rows = _with_openings(items.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long"), "text").distinct())
     total = rows.count()
     passes = max(1, -(-total // MAX_ITEMS))
     out = None
     for i in range(passes):
         own = rows.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == i) if passes > 1 else rows
-        one = _one_pass(docs, [(r.item_id, r.text) for r in own.orderBy("item_id").collect()])
+        one = _one_pass(docs, [(r.item_id, r.text, r.opened) for r in own.orderBy("item_id").collect()])
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _one_pass(docs: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
+def _with_openings(rows: DataFrame) -> DataFrame:
+    """Items with the words of their opening (opened), found over all items: those with one opening have their first words in common."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [" ".join(words(t)[:PIECE]) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.string())], names=["item_id", "text", "key"])
+
+    def opened(group: pa.Table) -> pa.Table:
+        n = openings([words(t) for t in group["text"].to_pylist()])
+        return pa.table({"item_id": group["item_id"], "text": group["text"], "opened": pa.array(n, pa.int32())})
+
+    return durable(rows.mapInArrow(keyed, "item_id long, text string, key string").groupBy("key").applyInArrow(opened, "item_id long, text string, opened int"))
+
+
+def _one_pass(docs: DataFrame, rows: list[tuple[int, str, int]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(shared.value)
+        items = Items([(i, t) for i, t, _ in shared.value], [n for _, _, n in shared.value])
         for batch in batches:
             out = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
