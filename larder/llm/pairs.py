@@ -37,8 +37,11 @@ _DECLINES = re.compile(
 
 #: Least words of a sentence whose language counts, and least log-odds per n-gram against the prompt's language.
 LEAST_WORDS, LEAST_ODDS = 4, 0.75
-#: Ends of texts: length of the contexts, size of the hashed table, least likelihood of a sound end.
-CONTEXT, END_BITS, LEAST_END = 8, 20, 0.05
+#: Ends of texts: length of the contexts, least likelihood of a sound end.
+CONTEXT, LEAST_END = 8, 0.05
+#: Distinct contexts that a task holds before it passes their counts on.
+HELD = 1 << 21
+_STEP = 0x9E3779B97F4A7C15
 #: Times a context must have been seen to count.
 LEAST_SEEN = 3
 
@@ -87,16 +90,18 @@ def _end_keys(text: str) -> list[int]:
 
 
 def _contexts(tail: str) -> list[int]:
+    """Hashes of 64 bits, as signed numbers."""
     h, out = 0, []
     for n, ch in enumerate(reversed(tail), 1):
-        h = ((h ^ ord(ch)) * 0x9E3779B1 + n) & 0xFFFFFFFFFFFF
-        out.append(h >> (48 - END_BITS))
+        h = ((h ^ ord(ch)) * _STEP + n) & 0xFFFFFFFFFFFFFFFF
+        h ^= h >> 29
+        out.append(h - (1 << 64) if h >> 63 else h)
     return out
 
 
 def _all_keys(text: str) -> np.ndarray:
     """The same hashes for the contexts before every position of a text, by arrays."""
-    code = np.frombuffer(f"\x02{text}".encode("utf-32-le"), np.uint32).astype(np.uint64)
+    code = np.frombuffer(f"\x02{text}".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     out, h = [], np.zeros(len(code), np.uint64)
     with np.errstate(over="ignore"):
         for n in range(1, CONTEXT + 1):
@@ -104,26 +109,28 @@ def _all_keys(text: str) -> np.ndarray:
             if m <= 0:
                 break
             # h[i] covers the n characters that end at position i + n - 1.
-            h = ((h[1:] if n > 1 else h) ^ code[:m]) * np.uint64(0x9E3779B1) + np.uint64(n)
-            h &= np.uint64(0xFFFFFFFFFFFF)
-            out.append((h >> np.uint64(48 - END_BITS)).astype(np.int64))
+            h = ((h[1:] if n > 1 else h) ^ code[:m]) * np.uint64(_STEP) + np.uint64(n)
+            h ^= h >> np.uint64(29)
+            out.append(h.view(np.int64))
     return np.concatenate(out)
 
 
 @dataclass
 class Ends:
-    """Counts of contexts anywhere and before an end."""
+    """Counts of contexts anywhere and before an end, by the sorted 64-bit hashes of the contexts."""
 
+    keys: np.ndarray
     ends: np.ndarray
     total: np.ndarray
 
     def likelihood(self, text: str) -> float:
         """Likelihood that a text ends after its last characters: of the longest context seen often enough."""
         best = 1.0
-        for k in _end_keys(_classed(text)):
-            if self.total[k] < LEAST_SEEN:
+        own = np.array(_end_keys(_classed(text)), np.int64)
+        for k, at in zip(own, np.searchsorted(self.keys, own)):
+            if at == len(self.keys) or self.keys[at] != k or self.total[at] < LEAST_SEEN:
                 break
-            best = (self.ends[k] + 0.05) / (self.total[k] + 0.1)
+            best = (self.ends[at] + 0.05) / (self.total[at] + 0.1)
         return float(best)
 
 
@@ -272,25 +279,35 @@ def end_texts(response: str | None) -> list[str]:
     return [*whole, a.last] if a.last and a.last not in whole else whole
 
 
+def _summed(k: np.ndarray, e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    keys, at = np.unique(k, return_inverse=True)
+    return keys, np.bincount(at, e, len(keys)).astype(np.int64), np.bincount(at, t, len(keys)).astype(np.int64)
+
+
 def count_ends(pairs: DataFrame) -> Ends:
-    """Context counts over the responses of all rows; the table's size is fixed, so its collection is bounded."""
-    size = 1 << END_BITS
+    """Exact context counts over the responses of all rows, kept for the contexts that stand before an end at all:
+    the end of every text to be judged is among those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ends, total = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        none = np.zeros(0, np.int64)
+        held = (none, none, none)
+        rows = lambda x: pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["k", "e", "t"])
         for batch in batches:
             seen = Counter(_classed(t) for r in batch.column(0).to_pylist() for t in end_texts(r))
+            parts = [held]
             for t, n in seen.items():
-                np.add.at(total, _all_keys(t), n)
-                np.add.at(ends, np.array(_end_keys(t)), n)
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(ends[k]), pa.array(total[k])], names=["k", "e", "t"])
+                k, own = _all_keys(t), np.array(_end_keys(t), np.int64)
+                parts += [(k, np.zeros(len(k), np.int64), np.full(len(k), n)), (own, np.full(len(own), n), np.zeros(len(own), np.int64))]
+            held = _summed(*(np.concatenate(c) for c in zip(*parts)))
+            if len(held[0]) > HELD:
+                yield rows(held)
+                held = (none, none, none)
+        yield rows(held)
 
-    rows = pairs.select("response").mapInArrow(run, "k long, e long, t long").groupBy("k").agg(F.sum("e").alias("e"), F.sum("t").alias("t")).filter(F.col("t") >= LEAST_SEEN).toArrow()
-    ends, total = np.zeros(size, np.int64), np.zeros(size, np.int64)
-    k = rows["k"].to_numpy()
-    ends[k], total[k] = rows["e"].to_numpy(), rows["t"].to_numpy()
-    return Ends(ends, total)
+    kept = pairs.select("response").mapInArrow(run, "k long, e long, t long").groupBy("k").agg(F.sum("e").alias("e"), F.sum("t").alias("t")).filter((F.col("t") >= LEAST_SEEN) & (F.col("e") > 0)).toArrow()
+    keys = kept["k"].to_numpy()
+    order = np.argsort(keys)
+    return Ends(keys[order], kept["e"].to_numpy()[order], kept["t"].to_numpy()[order])
 
 
 def judge(prompts: list[str], responses: list[str | None], bayes: NaiveBayes, ends: Ends, home: dict[str, int]) -> list[tuple[str | None, float]]:
@@ -359,7 +376,7 @@ def pair_defects(pairs: DataFrame, bayes: NaiveBayes, ends: Ends) -> DataFrame:
     and cannot be copied from. Texts of any length are read whole; repeated rows
     are judged each; an empty table gives no rows.
     """
-    shared = pairs.sparkSession.sparkContext.broadcast((bayes, ends))  # tables of fixed size, 17 MB
+    shared = pairs.sparkSession.sparkContext.broadcast((bayes, ends))  # a table of fixed size and 24 bytes for each context before an end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bayes, ends = shared.value
