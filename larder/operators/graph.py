@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.operators.similarity import degrees
-from larder.session import durable, within
+from larder.session import durable
 
 
 def normalised_edges(edges: DataFrame) -> DataFrame:
@@ -42,43 +44,102 @@ def propagate(adj: DataFrame, start: DataFrame, layers: int, dims: int) -> DataF
     return total.groupBy("node").agg(*[F.sum(F.get("v", F.lit(j))).alias(f"x{j}") for j in range(dims)]).select("node", F.transform(F.array(*[f"x{j}" for j in range(dims)]), lambda x: x / (layers + 1.0)).alias("v"))
 
 
-def train(edges: DataFrame, dims: int = 16, epochs: int = 20, rate: float = 0.05, decay: float = 1e-4, batch: int = 1024, seed: int = 7, most_edges: int = 2_000_000) -> DataFrame:
-    """(node, v) trained by pairwise ranking loss with uniform negatives and Adam, seeded.
+#: Edges of a block of users that one task trains, and epochs between two averages of the items.
+BLOCK_EDGES, LOCAL_EPOCHS = 50_000, 10
+_PART = "block int, state binary, item string, w long, v array<float>"
+_PARTS = pa.schema([("block", pa.int32()), ("state", pa.binary()), ("item", pa.string()), ("w", pa.int64()), ("v", pa.list_(pa.float32()))])
+#: Weighted components are summed as whole multiples of this, so that a sum does not depend on its order.
+_UNIT = 2.0**-30
 
-    The model is small beside the data: training runs in one task over at most
-    ``most_edges`` edges (the least by hash), a documented bound of the fit; all
-    nodes of these edges get a vector.
+
+def train(edges: DataFrame, dims: int = 16, epochs: int = 20, rate: float = 0.05, decay: float = 1e-4, batch: int = 1024, seed: int = 7) -> DataFrame:
+    """(node, v) trained by pairwise ranking loss with uniform negatives and Adam, seeded, over all edges.
+
+    Users are cut into blocks of about ``BLOCK_EDGES`` edges by hash; a task trains
+    the users of a block and a copy of the items for ``LOCAL_EPOCHS`` epochs over all
+    edges of the block. Then items are averaged over the blocks, weighted by how
+    often each was met; Adam starts anew, so that only vectors (as floats) are kept
+    between. Every node gets a vector. Only the items (one vector each)
+    pass the driver.
     """
-    sample = edges if within(edges, most_edges) else edges.orderBy(F.xxhash64("user", "item")).limit(most_edges)
+    spark = edges.sparkSession
+    blocks = max(1, -(-edges.count() // BLOCK_EDGES))
+
+    def gather(group: pa.Table) -> pa.Table:
+        pairs = sorted(set(zip(group["user"].to_pylist(), group["item"].to_pylist())))
+        return pa.Table.from_pylist([{"block": group["block"][0].as_py(), "state": zlib.compress(pickle.dumps((pairs, None)), 1)}], _PARTS)
+
+    named = edges.select("user", "item").withColumn("block", F.pmod(F.xxhash64("user"), F.lit(blocks)).cast("int"))
+    parts = durable(named.groupBy("block").applyInArrow(gather, _PART))
+    names = [r.item for r in edges.select("item").distinct().orderBy("item").collect()]
+    if not names:
+        return spark.createDataFrame([], "node string, v array<double>")
+    table = np.random.default_rng(seed).normal(0, 0.1, (len(names), dims))
+    for done in range(0, epochs, LOCAL_EPOCHS):
+        shared = spark.sparkContext.broadcast((names, table))
+        parts = durable(parts.filter("state is not null").mapInArrow(_round(shared, dims, min(LOCAL_EPOCHS, epochs - done), done, rate, decay, batch, seed), _PART))
+        total = parts.filter("item is not null").groupBy("item").agg(F.sum("w").alias("w"), *[F.sum((F.get("v", F.lit(j)).cast("double") * F.col("w") / _UNIT).cast("long")).alias(f"x{j}") for j in range(dims)])
+        mean = total.select("item", F.array(*[F.col(f"x{j}") * _UNIT / F.col("w") for j in range(dims)]).alias("v")).orderBy("item").toArrow()
+        table = np.array(mean["v"].combine_chunks().flatten()).reshape(len(names), dims)
+        shared.unpersist()
+
+    def users(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for state in b.column(0).to_pylist():
+                pairs, kept = pickle.loads(zlib.decompress(state))
+                own = sorted({u for u, _ in pairs})
+                e = _start(seed, own, dims) if kept is None else kept
+                yield pa.RecordBatch.from_arrays([pa.array([f"u:{u}" for u in own]), pa.array(e.tolist(), pa.list_(pa.float64()))], names=["node", "v"])
+
+    items = spark.createDataFrame(pa.table({"node": [f"i:{x}" for x in names], "v": pa.array(table.tolist(), pa.list_(pa.float64()))}))
+    return parts.filter("state is not null").select("state").mapInArrow(users, "node string, v array<double>").unionByName(items)
+
+
+def _start(seed: int, users: list, dims: int) -> np.ndarray:
+    return np.random.default_rng([seed, zlib.crc32(str(users[0]).encode())]).normal(0, 0.1, (len(users), dims))
+
+
+def _round(shared, dims: int, epochs: int, done: int, rate: float, decay: float, batch: int, seed: int):
+    """Some epochs of every block: its new state, and the vectors of the items it met."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = sorted((u, i) for b in batches for u, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        if not pairs:
-            return
-        users, items = sorted({u for u, _ in pairs}), sorted({i for _, i in pairs})
-        at_u, at_i = {u: k for k, u in enumerate(users)}, {i: k for k, i in enumerate(items)}
-        u, i = np.array([at_u[x] for x, _ in pairs]), np.array([at_i[x] for _, x in pairs])
-        rng = np.random.default_rng(seed)
-        e = rng.normal(0, 0.1, (len(users) + len(items), dims))
-        m, v, t = np.zeros_like(e), np.zeros_like(e), 0
-        for _ in range(epochs):
-            order = rng.permutation(len(u))
-            for lo in range(0, len(order), batch):
-                a, p = u[order[lo : lo + batch]], len(users) + i[order[lo : lo + batch]]
-                q = len(users) + rng.integers(0, len(items), len(a))
-                x = (e[a] * (e[p] - e[q])).sum(axis=1)
-                s = -1 / (1 + np.exp(np.clip(x, -30, 30)))[:, None] / len(a)
-                g = np.zeros_like(e)
-                np.add.at(g, a, s * (e[p] - e[q]) + decay * e[a] / len(a))
-                np.add.at(g, p, s * e[a] + decay * e[p] / len(a))
-                np.add.at(g, q, -s * e[a] + decay * e[q] / len(a))
-                t += 1
-                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                e -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        names = [f"u:{x}" for x in users] + [f"i:{x}" for x in items]
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(e.tolist(), pa.list_(pa.float64()))], names=["node", "v"])
-
-    return sample.select("user", "item").coalesce(1).mapInArrow(run, "node string, v array<double>")
+        names, table = shared.value
+        at_i = {x: k for k, x in enumerate(names)}
+        for b in batches:
+            for block, state in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                pairs, kept = pickle.loads(zlib.decompress(state))
+                users = sorted({x for x, _ in pairs})
+                at_u = {x: k for k, x in enumerate(users)}
+                u, i = np.array([at_u[x] for x, _ in pairs]), len(users) + np.array([at_i[x] for _, x in pairs])
+                size = len(users) + len(names)
+                own = _start(seed, users, dims) if kept is None else kept
+                m, v, t = np.zeros((size, dims)), np.zeros((size, dims)), 0
+                e, met = np.concatenate([own, table]), np.zeros(size, np.int64)
+                rng = np.random.default_rng([seed, block, done])
+                for _ in range(epochs):
+                    order = rng.permutation(len(u))
+                    for lo in range(0, len(order), batch):
+                        a, p = u[order[lo : lo + batch]], i[order[lo : lo + batch]]
+                        q = len(users) + rng.integers(0, len(names), len(a))
+                        x = (e[a] * (e[p] - e[q])).sum(axis=1)
+                        s = -1 / (1 + np.exp(np.clip(x, -30, 30)))[:, None] / len(a)
+                        # Gradients and moments of the nodes of the batch only.
+                        node = np.concatenate([a, p, q])
+                        each = np.concatenate([s * (e[p] - e[q]), s * e[a], -s * e[a]]) + decay * e[node] / len(a)
+                        by = np.argsort(node, kind="stable")
+                        n, first, often = np.unique(node[by], return_index=True, return_counts=True)
+                        g = np.add.reduceat(each[by], first, axis=0)
+                        met[n] += often
+                        t += 1
+                        m[n], v[n] = 0.9 * m[n] + 0.1 * g, 0.999 * v[n] + 0.001 * g * g
+                        e[n] -= rate * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.999**t)) + 1e-8)
+                yield pa.RecordBatch.from_pylist([{"block": block, "state": zlib.compress(pickle.dumps((pairs, e[: len(users)].astype(np.float32))), 1)}], _PARTS)
+                seen = np.flatnonzero(met[len(users) :])
+                none = pa.nulls(len(seen))
+                w, x = met[len(users) :][seen], e[len(users) :][seen]
+                yield pa.RecordBatch.from_arrays([none.cast(pa.int32()), none.cast(pa.binary()), pa.array([names[k] for k in seen], pa.string()), pa.array(w), pa.array(x.tolist(), pa.list_(pa.float32()))], schema=_PARTS)
+
+    return run
 
 
 #: Query vectors taken in one block; larger query sets are taken in several.

@@ -226,7 +226,7 @@ def graph_propagation(s, d):
 
 @R.add()
 def graph_trained_embeddings(s, d):
-    return graph.train(_edges(s, d).withColumn("item", F.col("item")), dims=8, epochs=5).select("node", F.size("v").alias("dims"))
+    return graph.train(_edges(s, d), dims=64, epochs=50).select("node", "v", F.size("v").alias("dims"))
 
 
 @R.add("WITH e AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0) SELECT q.vec_id AS query, e.vec_id AS item, round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) DESC, e.vec_id) AS INT) AS rank FROM q, e WHERE q.vec_id <> e.vec_id QUALIFY rank <= 10")
