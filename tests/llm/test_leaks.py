@@ -13,6 +13,10 @@ def text(n):
     return [RND.choice(VOCAB) for _ in range(n)]
 
 
+def words_of_item(ix, k):
+    return leaks.words(ix.texts[k])
+
+
 def distance(p, t):
     """Least edit distance of p to any stretch of t, by the plain table."""
     row = [0] * (len(t) + 1)
@@ -30,8 +34,8 @@ def test_bit_parallel_distance():
         n = RND.choice([15, 16, 24])
         region = [RND.choice("abcde") + "q" for _ in range(RND.randint(0, 40))]
         lanes = np.arange(30 - n + 1)
-        got = leaks.least_distance(item.masks(0, n), n, region, lanes)
-        assert got.tolist() == [min(n, distance(item.words[0][s : s + n], region)) for s in lanes]
+        got = leaks.least_distance(item.masks(0, n), n, leaks.words_of([" ".join(region)]).hashes.tolist(), lanes)
+        assert got.tolist() == [min(n, distance(words_of_item(item, 0)[s : s + n], region)) for s in lanes]
 
 
 def edited(words, errors):
@@ -50,20 +54,20 @@ def test_found_and_not_found():
         k = RND.randrange(20)
         n = RND.randint(15, 60)
         at = RND.randrange(70 - n + 1)
-        stretch = edited(ix.words[k][at : at + n], RND.randint(0, n // 8))
+        stretch = edited(words_of_item(ix, k)[at : at + n], RND.randint(0, n // 8))
         doc = " ".join(text(30) + stretch + text(30))
         assert k in [j for j, _ in leaks.leaks_of(ix, doc)]
     for _ in range(80):
         k = RND.randrange(20)
         n = RND.randint(5, 9)
         at = RND.randrange(70 - n + 1)
-        assert leaks.leaks_of(ix, " ".join(text(30) + ix.words[k][at : at + n] + text(30))) == []
+        assert leaks.leaks_of(ix, " ".join(text(30) + words_of_item(ix, k)[at : at + n] + text(30))) == []
 
 
 def brute(ix, doc):
     """Every window of every item against the whole text."""
     w = leaks.words(doc)
-    return {k for k, p in enumerate(ix.words) if any(distance(p[s : s + n], w) <= e for n, e in leaks.budgets(len(p)) for s in range(len(p) - n + 1))}
+    return {k for k, p in enumerate(words_of_item(ix, k) for k in range(len(ix.ids))) if any(distance(p[s : s + n], w) <= e for n, e in leaks.budgets(len(p)) for s in range(len(p) - n + 1))}
 
 
 def test_same_as_brute_force():
@@ -71,7 +75,7 @@ def test_same_as_brute_force():
     for _ in range(25):
         k, n = RND.randrange(3), RND.randint(8, 30)
         at = RND.randrange(34 - n + 1)
-        doc = " ".join(text(6) + edited(ix.words[k][at : at + n], RND.randint(0, 4)) + text(6))
+        doc = " ".join(text(6) + edited(words_of_item(ix, k)[at : at + n], RND.randint(0, 4)) + text(6))
         assert {j for j, _ in leaks.leaks_of(ix, doc)} == brute(ix, doc)
 
 
