@@ -16,8 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.text import DIMS, LANGUAGES, chunked_grams, grams, label_code, labelled_documents, letters_only, plain, row_sums, sentences, substance
+from larder.llm.text import CHUNK, DIMS, LANGUAGES, chunked_grams, grams, label_code, labelled_documents, letters_only, plain, row_sums, sentences, substance
 
+#: A sentence is compared with the centroids of languages whose mean is at least so near, beside the nearest mean.
+NEAR = 0.6
 #: Clusters per language and rounds of fitting.
 CLUSTERS, ROUNDS = 24, 4
 #: Cost of a change of language between sentences while fitting, and least part of a language's sentences in a cluster.
@@ -25,7 +27,7 @@ FIT_COST, LEAST_CLUSTER = 0.15, 0.004
 #: Least cosine with the nearest centroid of a sentence with a language of its own.
 LEAST_COSINE = 0.10
 #: Cost of a change of language between two sentences, in cosine.
-CHANGE_COST = 0.04
+CHANGE_COST = 0.11
 #: Least words of a sentence, and words from which one counts in full.
 LEAST_WORDS, FULL_WORDS = 3, 6
 SCHEMA = "doc_id long, lang_label string, seg_no int, lang string, confidence double, n_sentences int, n_langs int, label_ok boolean"
@@ -35,26 +37,51 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("lang_label", pa.string()), ("seg_n
 @dataclass
 class Centroids:
     idf: np.ndarray
-    matrix: np.ndarray  # DIMS x centroids
-    owner: np.ndarray  # language of each centroid
+    matrix: np.ndarray  # DIMS x centroids, those of a language side by side
+    owner: np.ndarray  # language of each centroid, rising
+    means: np.ndarray | None = None  # DIMS x languages: the mean of each language's sentences
+
+    def __post_init__(self) -> None:
+        present = np.unique(self.owner)
+        self.of = {int(k): np.ascontiguousarray(self.matrix[:, self.owner == k]) for k in present}
+        if self.means is None:
+            self.means = np.zeros((DIMS, len(LANGUAGES)), np.float32)
+            for k, own in self.of.items():
+                m = own.sum(axis=1)
+                self.means[:, k] = m / max(float(np.linalg.norm(m)), 1e-9)
+
+    def __getstate__(self) -> tuple:
+        return self.idf, self.matrix, self.owner, self.means
+
+    def __setstate__(self, state: tuple) -> None:
+        self.idf, self.matrix, self.owner, self.means = state
+        self.__post_init__()
 
     def cosines(self, texts: list[str]) -> np.ndarray:
-        """Largest cosine per text and language."""
+        """Largest cosine per text and language; of languages whose mean is far off beside the nearest mean, the mean's."""
         row, dim, count = grams(texts)
         w = (1 + np.log(count)) * self.idf[dim]
         norm = np.sqrt(row_sums(row, w * w, len(texts)))
-        # Text by text, so that the rows of the matrix it needs stay in the processor's cache.
-        dots, light = np.zeros((len(texts), self.matrix.shape[1]), np.float32), w.astype(np.float32)
-        cuts = np.searchsorted(row, np.arange(len(texts) + 1))
-        for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-            dots[i] = light[lo:hi] @ self.matrix[dim[lo:hi]]
-        cos = dots / np.maximum(norm, 1e-9)[:, None]
+        light, cuts = w.astype(np.float32), np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
         out = np.zeros((len(texts), len(LANGUAGES)), np.float32)
-        for k in range(len(LANGUAGES)):
-            own = self.owner == k
-            if own.any():
-                out[:, k] = cos[:, own].max(axis=1)
-        return out
+        held = np.empty((int(np.diff(cuts).max(initial=0)), max(self.matrix.shape[1], len(LANGUAGES))), np.float32).reshape(-1)
+
+        def dots(i: int, m: np.ndarray) -> np.ndarray:
+            lo, hi = cuts[i], cuts[i + 1]
+            rows = held[: (hi - lo) * m.shape[1]].reshape(hi - lo, m.shape[1])
+            m.take(dim[lo:hi], axis=0, out=rows, mode="clip")
+            return light[lo:hi] @ rows
+
+        some = [i for i in range(len(texts)) if cuts[i] < cuts[i + 1]]
+        for i in some:
+            out[i] = dots(i, self.means)
+        close = out >= NEAR * out.max(axis=1, keepdims=True)
+        # Language by language, so that the rows of its matrix stay in the processor's cache.
+        for k, m in self.of.items():
+            for i in np.flatnonzero(close[:, k]).tolist():
+                if cuts[i] < cuts[i + 1]:
+                    out[i, k] = dots(i, m).max()
+        return out / np.maximum(norm, 1e-9).astype(np.float32)[:, None]
 
 
 def _mean(row: np.ndarray, dim: np.ndarray, w: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
@@ -77,11 +104,11 @@ def fit(labelled: list[tuple[str, list[str]]], clusters: int = CLUSTERS) -> Cent
 
     Each document is first read with the means of all languages; stretches of it
     that are clearly in another language are left out, and after clustering so
-    are clusters of very few sentences. Each sentence also counts without accents.
+    are clusters of very few sentences. A sentence with accents also counts without.
     """
-    labelled = [(c, own) for c, own in labelled if own]
-    texts = [x for _, own in labelled for t in own for x in (t, plain(t))]
-    lang = np.array([LANGUAGES.index(c) for c, own in labelled for _ in range(2 * len(own))], np.int64)
+    labelled = [(c, [x for t in own for x in dict.fromkeys((t, plain(t)))]) for c, own in labelled if own]
+    texts = [t for _, own in labelled for t in own]
+    lang = np.array([LANGUAGES.index(c) for c, own in labelled for _ in own], np.int64)
     if not texts:
         return Centroids(np.ones(DIMS), np.zeros((DIMS, 1), np.float32), np.array([0]))
     row, dim, count = chunked_grams(texts)
@@ -98,7 +125,7 @@ def fit(labelled: list[tuple[str, list[str]]], clusters: int = CLUSTERS) -> Cent
         return out
 
     keep, words = lang, np.full(len(texts), FULL_WORDS)
-    ends = np.cumsum([2 * len(own) for _, own in labelled])
+    ends = np.cumsum([len(own) for _, own in labelled])
     for _ in range(3):
         score = near(_mean(row, dim, w, keep, len(LANGUAGES)))
         score[:, np.bincount(lang, minlength=len(LANGUAGES)) == 0] = -1
@@ -135,7 +162,8 @@ def fit(labelled: list[tuple[str, list[str]]], clusters: int = CLUSTERS) -> Cent
         m = _mean(r, q, x, part, n)[size >= max(1, LEAST_CLUSTER * len(mine))]
         centres.append(m)
         owner += [k] * len(m)
-    return Centroids(idf, np.ascontiguousarray(np.concatenate(centres).T), np.array(owner))
+    means = _mean(row, dim, w, keep, len(LANGUAGES)).T
+    return Centroids(idf, np.ascontiguousarray(np.concatenate(centres).T), np.array(owner), np.ascontiguousarray(means))
 
 
 def best_path(cos: np.ndarray, words: np.ndarray, cost: float = CHANGE_COST) -> np.ndarray:
@@ -152,18 +180,48 @@ def best_path(cos: np.ndarray, words: np.ndarray, cost: float = CHANGE_COST) ->
     return np.array(path[::-1])
 
 
+def _confidence(cos: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    soft = np.exp((cos - cos.max(axis=1, keepdims=True)) * 25)
+    return soft[np.arange(len(lang)), lang] / soft.sum(axis=1)
+
+
 def segments(cos: np.ndarray, words: np.ndarray) -> list[tuple[int, float, int]]:
     """Runs of sentences in one language: (language, mean confidence, sentences); none without any real sentence."""
     real = (cos.max(axis=1, initial=0) >= LEAST_COSINE) & (words >= LEAST_WORDS)
     if not real.any():
         return []
     path = best_path(cos, words)
-    soft = np.exp((cos - cos.max(axis=1, keepdims=True)) * 25)
-    conf = (soft / soft.sum(axis=1, keepdims=True))[np.arange(len(path)), path]
+    conf = _confidence(cos, path)
     cuts = np.r_[0, np.flatnonzero(path[1:] != path[:-1]) + 1, len(path)]
     return [(int(path[i]), float(conf[i:j][real[i:j]].mean()) if real[i:j].any() else float(conf[i:j].mean()), int(j - i)) for i, j in zip(cuts[:-1], cuts[1:])]
 
 
+def all_segments(cos: np.ndarray, words: np.ndarray, cuts: np.ndarray) -> list[list[tuple[int, float, int]]]:
+    """``segments`` of many documents, document i having the sentences cuts[i] up to cuts[i + 1].
+
+    Where all sentences with evidence are nearest to one language, that language is the best path (no other has
+    more of any sentence, and it never changes); only the other documents need the search.
+    """
+    n = len(cuts) - 1
+    out: list[list[tuple[int, float, int]]] = [[] for _ in range(n)]
+    doc = np.repeat(np.arange(n), np.diff(cuts))
+    top = cos.max(axis=1, initial=0)
+    best = cos.argmax(axis=1) if len(cos) else np.zeros(0, np.int64)
+    strong = (top >= LEAST_COSINE) & (words > 0)
+    real = strong & (words >= LEAST_WORDS)
+    any_real = np.bincount(doc[real], minlength=n) > 0
+    low, high = np.full(n, len(LANGUAGES)), np.full(n, -1)
+    np.minimum.at(low, doc[strong], best[strong])
+    np.maximum.at(high, doc[strong], best[strong])
+    one = any_real & (low == high)
+    inside = real & one[doc]
+    conf = np.bincount(doc[inside], _confidence(cos[inside], low[doc[inside]]), n) / np.maximum(np.bincount(doc[inside], minlength=n), 1)
+    size = np.diff(cuts)
+    for i in np.flatnonzero(any_real):
+        out[i] = [(int(low[i]), float(conf[i]), int(size[i]))] if one[i] else segments(cos[cuts[i] : cuts[i + 1]], words[cuts[i] : cuts[i + 1]])
+    return out
+
+
 def _label_fits(label: str | None, langs: list[str]) -> bool:
     return len(set(langs)) == 1 and label_code(label) == langs[0]
 
@@ -182,16 +240,18 @@ def language_segments(docs: DataFrame, model: Centroids) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                ids, labels, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                units = [[letters_only(s) for s in sentences(t)] for t in texts]
-                flat = [u for us in units for u in us]
-                cos = model.cosines(flat) if flat else np.zeros((0, len(LANGUAGES)), np.float32)
-                words = np.array([substance(u)[0] for u in flat])
-                rows, k = [], 0
-                for i, label, us in zip(ids, labels, units):
-                    segs = segments(cos[k : k + len(us)], words[k : k + len(us)]) if us else []
-                    k += len(us)
+            for at in range(0, batch.num_rows, 2048):
+                ids, labels, texts = (c.to_pylist() for c in batch.slice(at, 2048).columns)
+                units = [sentences(t) for t in texts]
+                cuts = np.r_[0, np.cumsum([len(us) for us in units])]
+                # A sentence that recurs is read once a step.
+                seen: dict[str, int] = {}
+                which = np.array([seen.setdefault(u, len(seen)) for us in units for u in us], np.int64)
+                distinct = [letters_only(u) for u in seen]
+                cos = np.concatenate([model.cosines(distinct[i : i + CHUNK]) for i in range(0, len(distinct), CHUNK)]) if distinct else np.zeros((0, len(LANGUAGES)), np.float32)
+                words = np.array([substance(u)[0] for u in distinct], np.int64)
+                rows = []
+                for i, label, segs in zip(ids, labels, all_segments(cos[which], words[which], cuts)):
                     langs = [LANGUAGES[s[0]] for s in segs]
                     fits = _label_fits(label, langs)
                     rows += [(i, label, j, LANGUAGES[s[0]], s[1], s[2], len(set(langs)), fits) for j, s in enumerate(segs)]
@@ -201,7 +261,6 @@ def language_segments(docs: DataFrame, model: Centroids) -> DataFrame:
     return docs.filter("text is not null").select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(run, SCHEMA)
 
 
-def fit_on(docs: DataFrame, extra: DataFrame | None = None) -> Centroids:
-    """Centroids fitted on a bounded sample of labelled documents (LABELLED_ROWS of larder.llm.text) and of ``extra``."""
-    more = labelled_documents(extra) if extra is not None else []
-    return fit(more + labelled_documents(docs))
+def fit_on(docs: DataFrame) -> Centroids:
+    """Centroids fitted on a bounded sample of labelled documents (LABELLED_ROWS of larder.llm.text)."""
+    return fit(labelled_documents(docs))

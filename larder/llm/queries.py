@@ -84,8 +84,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "eval_items").select(F.col("item_id").alias("doc_id"), "lang", "text")
-    return language_segments(_texts(spark, d), fit_on(table(spark, d, "documents"), items))
+    return language_segments(_texts(spark, d), fit_on(table(spark, d, "documents")))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

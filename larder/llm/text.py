@@ -35,9 +35,12 @@ BITS = 15
 DIMS = 1 << BITS
 ORDERS = (1, 2, 3, 4)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_QUOTED = re.compile(r'"[^"\n]{0,160}"|“[^”\n]{0,160}”|„[^“”\n]{0,160}[“”]|«[^»\n]{0,160}»|「[^」\n]{0,160}」|『[^』\n]{0,160}』')
+#: Quoted phrases: pairs of marks on one line without the end of a sentence and a next one between them.
+_PAIRS = ('""', "“”", "„“", "„”", "«»", "「」", "『』")
+_QUOTED = re.compile("|".join(f"{a}[^{b}.!?…。！？\n]*(?:(?:[.!?…](?=\\S|\\s+[a-zß-öø-ÿ])|[。！？](?={b}))[^{b}.!?…。！？\n]*)*{b}" for a, b in _PAIRS))
+_MARKS = re.compile("[" + "".join(sorted({p[0] for p in _PAIRS})) + "]")
 _END = re.compile(r"(?<=[.!?…])[)\]\"'”’]*\s+|(?<=[。！？])|\n\s*\n|\n(?=\s*(?:[-*•#>|]|\d+[.)])\s)|(?<=[.!?…:)\]|])\s*\n")
-_TAG = re.compile(r"<[^<>\n]{1,40}>")
+_TAG = re.compile(r"<(?=[/!?\w])[^<>\n]+>")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _CJK = re.compile(r"[㐀-鿿豈-﫿぀-ヿ가-힯]")
 
@@ -56,8 +59,12 @@ def label_code(label: str | None) -> str | None:
 
 def sentences(text: str) -> list[str]:
     """Whole sentences of a text in order, quoted phrases and markup left out."""
-    t = _TAG.sub(" ", _QUOTED.sub(' "" ', text.replace("\r\n", "\n").replace("\r", "\n")))
-    return [s for s in (re.sub(r"\s+", " ", x).strip() for x in _END.split(t)) if s]
+    t = text.replace("\r\n", "\n").replace("\r", "\n") if "\r" in text else text
+    if _MARKS.search(t):
+        t = _QUOTED.sub(' "" ', t)
+    if "<" in t:
+        t = _TAG.sub(" ", t)
+    return [s for s in (" ".join(x.split()) for x in _END.split(t)) if s]
 
 
 def letters_only(s: str) -> str:

@@ -107,3 +107,24 @@ def test_bayes_held_out(docs):
 def test_end_contexts_agree():
     for t in ("", "a", "abc", "a long enough text"):
         assert set(pairs._end_keys(t)) <= set(pairs._all_keys(t).tolist())
+
+
+def test_a_quoted_phrase_of_any_length_is_part_of_its_sentence():
+    for n in (2, 8, 60):
+        phrase = " ".join(["die suppe war kalt und das brot hart"] * n)
+        assert len(T.sentences(f'The guest wrote "{phrase}" and left. We paid.')) == 2
+    assert len(T.sentences('"All of it is quoted. Two sentences." More here.')) == 3
+    assert T.sentences(f'See <a href="{"x" * 300}">this page</a> now.') == ["See this page now."]
+
+
+def test_many_documents_at_once_equal_one_by_one():
+    rnd = np.random.default_rng(3)
+    size = rnd.integers(0, 7, 400)
+    cos = rnd.random((size.sum(), len(T.LANGUAGES))).astype(np.float32) * rnd.choice([0.05, 0.3], (size.sum(), 1))
+    cos[rnd.random(size.sum()) < 0.5, 2] += 0.5
+    words, cuts = rnd.integers(0, 9, size.sum()), np.r_[0, np.cumsum(size)]
+    got = langid.all_segments(cos, words, cuts)
+    for i in range(400):
+        want = langid.segments(cos[cuts[i] : cuts[i + 1]], words[cuts[i] : cuts[i + 1]]) if size[i] else []
+        assert [(a, c) for a, _, c in got[i]] == [(a, c) for a, _, c in want]
+        np.testing.assert_allclose([b for _, b, _ in got[i]], [b for _, b, _ in want], rtol=1e-5)
