@@ -27,7 +27,7 @@ FIT_COST, LEAST_CLUSTER = 0.15, 0.004
 #: Least cosine with the nearest centroid of a sentence with a language of its own.
 LEAST_COSINE = 0.10
 #: Cost of a change of language between two sentences, in cosine.
-CHANGE_COST = 0.11
+CHANGE_COST = 0.10
 #: Least words of a sentence, and words from which one counts in full.
 LEAST_WORDS, FULL_WORDS = 3, 6
 SCHEMA = "doc_id long, lang_label string, seg_no int, lang string, confidence double, n_sentences int, n_langs int, label_ok boolean"
@@ -104,9 +104,9 @@ def fit(labelled: list[tuple[str, list[str]]], clusters: int = CLUSTERS) -> Cent
 
     Each document is first read with the means of all languages; stretches of it
     that are clearly in another language are left out, and after clustering so
-    are clusters of very few sentences. A sentence with accents also counts without.
+    are clusters of very few sentences. Each sentence also counts without accents.
     """
-    labelled = [(c, [x for t in own for x in dict.fromkeys((t, plain(t)))]) for c, own in labelled if own]
+    labelled = [(c, [x for t in own for x in (t, plain(t))]) for c, own in labelled if own]
     texts = [t for _, own in labelled for t in own]
     lang = np.array([LANGUAGES.index(c) for c, own in labelled for _ in own], np.int64)
     if not texts:
