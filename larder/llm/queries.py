@@ -16,6 +16,9 @@ from larder.llm.pairs import count_ends, fit_bayes_on, pair_defects
 from larder.llm.runs import collapse_runs
 from larder.session import spread, table
 
+#: Setting that names the vocabulary file of the mixtures' token counts, and the file used without it.
+TOKENIZER_SETTING, TOKENIZER = "spark.larder.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def order_events(spark: SparkSession, d: str) -> DataFrame:
     """One event per order: customer, vendor and cuisine of its lowest row_id, in clean form."""
@@ -75,12 +78,16 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return items.join(hits, "item_id")
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return prepared(_texts(spark, d), spark.conf.get(TOKENIZER_SETTING, TOKENIZER))
+
+
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mix(prepared(_texts(spark, d)), table(spark, d, "mix_targets"))
+    return mix(_sized(spark, d), table(spark, d, "mix_targets"))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    return shares(prepared(_texts(spark, d)), table(spark, d, "mix_targets"))
+    return shares(_sized(spark, d), table(spark, d, "mix_targets"))
 
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:

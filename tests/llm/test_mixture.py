@@ -71,13 +71,26 @@ def test_nothing(spark):
     assert got == [] and mixture.shares(s, t).first().mixed_tokens == 0
 
 
-@pytest.mark.skipif(not Path(mixture.TOKENIZER).exists(), reason="no tokenizer")
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k"
+
+
+def test_no_vocabulary(spark):
+    with pytest.raises(FileNotFoundError, match="vocabulary"):
+        mixture.prepared(spark.createDataFrame([], "doc_id long, source string, text string"), "/nowhere/ranks")
+
+
+def test_letter_shares():
+    assert mixture.letter_shares(["ab 1!", "", "  ", "123", "åß不"]).tolist() == [0.5, 0.1, 0.1, 0.1, 1.0]
+    assert mixture.letter_shares([]).tolist() == []
+
+
+@pytest.mark.skipif(not Path(f"{VOCABULARY}.json").exists(), reason="no tokenizer")
 def test_tokens(spark):
     from tokenizers import Tokenizer
 
     texts = ["Hello there", "", None, "不要葱 <|endoftext|>", "x " * 50_000]
     d = spark.createDataFrame([(i, "s", t, i) for i, t in enumerate(texts)] + [(9, None, "t", 1)], "doc_id long, source string, text string, n_tokens int")
-    got = {r.doc_id: r.n_tokens for r in mixture.prepared(d).collect()}
-    tok = Tokenizer.from_file(mixture.TOKENIZER)
+    got = {r.doc_id: r.n_tokens for r in mixture.prepared(d, f"{VOCABULARY}.tiktoken").collect()}
+    tok = Tokenizer.from_file(f"{VOCABULARY}.json")  # another library's counts with the same vocabulary
     tok.encode_special_tokens = True
     assert got == {i: len(tok.encode(t, add_special_tokens=False)) for i, t in enumerate(texts) if t is not None}
