@@ -2,17 +2,21 @@
 
 Languages of prompt and response are compared by the posteriors of a naive Bayes
 model over character n-grams; breaking off is found by the likelihood of a text
-ending after its last characters, a model counted over all responses. Both are
-read together with the structure of the answer (JSON, list or prose).
+ending after its last characters and of parts being left open, a model counted
+over all responses; declining is found by a naive Bayes model over
+words, which all responses label themselves: what is said in place of an answer
+against what is said beside one. All are read together
+with the structure of the answer (JSON, list or prose).
 """
 
 from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,15 +34,20 @@ _PROVIDER = re.compile(r"^\W*(?:api |provider |internal |server |http |llm )*(?:
 _FENCE = re.compile(r"```[a-zA-Z]*")
 _THINK = re.compile(r"<think>(.*?)</think>", re.S | re.I)
 _ITEM = re.compile(r"^\s*(?:\d{1,3}[.)]|[-*•])\s+(.*)$")
-_DECLINES = re.compile(
-    r"\b(?:can(?:no|')?t|cannot|unable|not able|won't|will not|would(?:n't| not)|decline[ds]?|declining|refuse[ds]?|not possible|not something|nothing i can|nothing i could|sorry|apolog\w+|regret\w*|unfortunately|against my|violates?|polic(?:y|ies)|guidelines?|safety|rather not|prefer not|not supported|beyond what|outside what|not (?:allowed|permitted|appropriate|right|responsible)|isn't|is not|another topic|something else|(?:not|n't) have access|no (?:answer|ranking|list|prediction|guess)|don't cross|not for me|must not|may not|forbid\w*|instructions)\b",
-    re.I,
-)
+_KEY = re.compile(r"\w+\|\|")
 
 #: Least words of a sentence whose language counts, and least log-odds per n-gram against the prompt's language.
-LEAST_WORDS, LEAST_ODDS = 4, 0.75
+LEAST_WORDS, LEAST_ODDS = 4, 0.55
+#: Lines of prompts whose languages a task remembers from one step to the next.
+REMEMBERED = 20_000
+#: Slots of hashed words and word pairs in the model of refusals (one byte-sized count table of fixed size).
+WORD_SLOTS = 1 << 16
 #: Ends of texts: length of the contexts, least likelihood of a sound end.
 CONTEXT, LEAST_END = 8, 0.05
+#: Kinds of parts with what opens them; one left open is a sound end only where most responses that open it leave it so.
+PARTS = ("thought", "fence", "bracket")
+_OPENS = {"thought": "<think>", "fence": "```", "bracket": "{"}
+LEAST_OPEN = 0.5
 #: Distinct contexts that a task holds before it passes their counts on.
 HELD = 1 << 21
 _STEP = 0x9E3779B97F4A7C15
@@ -53,11 +62,16 @@ class NaiveBayes:
     table: np.ndarray  # DIMS x languages
     known: np.ndarray
 
-    def mean_logs(self, texts: list[str]) -> np.ndarray:
+    def logs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood of each text in each language, and its n-grams."""
         row, dim, count = grams(texts)
         total = row_sums(row, count, len(texts))
-        logs = row_sums(row, self.table[dim] * count[:, None].astype(np.float32), len(texts)) / np.maximum(total, 1)[:, None]
-        return np.where(self.known, logs, -np.inf)
+        logs = row_sums(row, self.table[dim] * count[:, None].astype(np.float32), len(texts))
+        return np.where(self.known, logs, -np.inf), total
+
+    def mean_logs(self, texts: list[str]) -> np.ndarray:
+        logs, total = self.logs(texts)
+        return logs / np.maximum(total, 1)[:, None]
 
 
 def fit_bayes(labelled: list[tuple[str, list[str]]], smoothing: float = 0.5) -> NaiveBayes:
@@ -115,13 +129,25 @@ def _all_keys(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _word_slots(text: str) -> np.ndarray:
+    """Hashed words and pairs of neighbouring words of a text."""
+    w = ["", *letters_only(text.replace("’", "'").replace("'", "")).split(), ""]
+    return np.array([zlib.crc32(x.encode()) % (WORD_SLOTS - 1) for x in {*w[1:-1], *map(" ".join, zip(w, w[1:]))}], np.int64)
+
+
+_NO_WORD = WORD_SLOTS - 1
+
+
 @dataclass
 class Ends:
-    """Counts of contexts anywhere and before an end, by the sorted 64-bit hashes of the contexts."""
+    """Counts of contexts anywhere and before an end, by the sorted 64-bit hashes of the contexts; log-odds of words
+    said in place of an answer against those beside one."""
 
     keys: np.ndarray
     ends: np.ndarray
     total: np.ndarray
+    declining: np.ndarray | None = None
+    left_open: dict[str, tuple[int, int]] = field(default_factory=dict)  # of each kind of part: responses that leave it open, that open it
 
     def likelihood(self, text: str) -> float:
         """Likelihood that a text ends after its last characters: of the longest context seen often enough."""
@@ -133,6 +159,16 @@ class Ends:
             best = (self.ends[at] + 0.05) / (self.total[at] + 0.1)
         return float(best)
 
+    def likelihood_open(self, part: str) -> float:
+        """Likelihood that a response that opens such a part ends before it is closed."""
+        left, opened = self.left_open.get(part, (0, 0))
+        return (left + 0.05) / (opened + 0.1) if opened >= LEAST_SEEN else 0.0
+
+    def declines(self, text: str) -> float:
+        """Mean log-odds of the words of a text that it stands in place of an answer; 0 without any word."""
+        slots = _word_slots(text)
+        return float(self.declining[slots].mean()) if self.declining is not None and len(slots) else 0.0
+
 
 @dataclass
 class Answer:
@@ -141,7 +177,7 @@ class Answer:
     prose: list[str]  # texts outside and inside the answer whose language counts
     items: list[str]
     leaves: list[str]
-    broken: bool  # an opened part is not closed
+    broken: str  # the kind of an opened part that is not closed: thought, fence or bracket, else empty
     last: str  # what the text ends with, as read for its end
     structured: bool
 
@@ -181,8 +217,8 @@ def read_answer(response: str) -> Answer:
     text = _THINK.sub(" ", text)
     opened = re.search(r"<think>", text, re.I)
     if opened:
-        return Answer([text[opened.end() :]], [], [], True, text, False)
-    broken = text.count("```") % 2 == 1
+        return Answer([text[opened.end() :]], [], [], "thought", text, False)
+    broken = "fence" if text.count("```") % 2 == 1 else ""
     text = _FENCE.sub(" ", text).strip()
     if text[:1] == '"' and text[-1:] == '"' and len(text) > 1:
         try:
@@ -199,7 +235,7 @@ def read_answer(response: str) -> Answer:
             except ValueError:
                 pass
         elif text[at] == "{" or at == 0:
-            return Answer([*thoughts, text[:at]], [], [], True, text, True)
+            return Answer([*thoughts, text[:at]], [], [], "bracket", text, True)
         if parsed is None and (end < 0 or text[at] == "["):
             continue  # a bracket in prose
         rest = text[end:].strip()
@@ -258,16 +294,26 @@ def is_copied(prompt: str, response: str, answer: Answer) -> bool:
 
 
 def texts_of(answer: Answer) -> list[str]:
-    """Sentences whose language counts, as letters."""
+    """Sentences whose language counts, as letters: of remarks, thoughts and all strings of the answer, keys of places cut out."""
     out = []
-    for t in answer.prose:
-        for s in sentences(t):
+    for t in dict.fromkeys([*answer.prose, *answer.items, *answer.leaves]):
+        for s in sentences(_KEY.sub(" ", t)) if t.count(" ") >= LEAST_WORDS - 1 or not t.isascii() else ():
             x = letters_only(s)
-            if substance(x)[0] >= LEAST_WORDS and "||" not in s:
+            if substance(x)[0] >= LEAST_WORDS:
                 out.append(x)
     return out
 
 
+def said_by(answer: Answer) -> str:
+    """What a response says besides its answer."""
+    return " ".join(t for t in answer.prose if t)
+
+
+def answers(answer: Answer) -> bool:
+    """Whether a response names anything: an item that is more than a placeholder and no sentence."""
+    return any(not _hollow(t) and len(t.split()) <= 4 for t in answer.items)
+
+
 def end_texts(response: str | None) -> list[str]:
     """The texts of a response for the end model: whole items and remarks; none of broken structures."""
     if response is None or is_empty(response):
@@ -285,84 +331,130 @@ def _summed(k: np.ndarray, e: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np
 
 
 def count_ends(pairs: DataFrame) -> Ends:
-    """Exact context counts over the responses of all rows, kept for the contexts that stand before an end at all:
-    the end of every text to be judged is among those."""
+    """Exact counts over the responses of all rows: of contexts, kept where they stand before an end at all (the end of
+    every text to be judged is among those), of words said in place of an answer and beside one, and of parts left open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.zeros(0, np.int64)
-        held = (none, none, none)
-        rows = lambda x: pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["k", "e", "t"])
+        held, words, parts_open = (none, none, none), np.zeros((2, WORD_SLOTS), np.int64), np.zeros((2, len(PARTS)), np.int64)
+        rows = lambda kind, x: pa.RecordBatch.from_arrays([pa.array(np.full(len(x[0]), kind, np.int8)), *map(pa.array, x)], names=["kind", "k", "e", "t"])
         for batch in batches:
-            seen = Counter(_classed(t) for r in batch.column(0).to_pylist() for t in end_texts(r))
+            seen = Counter()
+            for r in batch.column(0).to_pylist():
+                if r is None or is_empty(r):
+                    continue
+                a = read_answer(r)
+                for i, part in enumerate(PARTS):
+                    parts_open[1, i] += _OPENS[part] in r.lower()
+                    parts_open[0, i] += a.broken == part
+                if a.broken:
+                    continue
+                seen.update(_classed(t) for t in end_texts(r))
+                said = said_by(a)
+                if len(said.split()) >= LEAST_WORDS:
+                    words[int(answers(a))][np.r_[_word_slots(said), _NO_WORD]] += 1
             parts = [held]
             for t, n in seen.items():
                 k, own = _all_keys(t), np.array(_end_keys(t), np.int64)
                 parts += [(k, np.zeros(len(k), np.int64), np.full(len(k), n)), (own, np.full(len(own), n), np.zeros(len(own), np.int64))]
             held = _summed(*(np.concatenate(c) for c in zip(*parts)))
             if len(held[0]) > HELD:
-                yield rows(held)
+                yield rows(0, held)
                 held = (none, none, none)
-        yield rows(held)
-
-    kept = pairs.select("response").mapInArrow(run, "k long, e long, t long").groupBy("k").agg(F.sum("e").alias("e"), F.sum("t").alias("t")).filter((F.col("t") >= LEAST_SEEN) & (F.col("e") > 0)).toArrow()
-    keys = kept["k"].to_numpy()
-    order = np.argsort(keys)
-    return Ends(keys[order], kept["e"].to_numpy()[order], kept["t"].to_numpy()[order])
-
-
-def judge(prompts: list[str], responses: list[str | None], bayes: NaiveBayes, ends: Ends, home: dict[str, int]) -> list[tuple[str | None, float]]:
-    """(defect or None, score) of each pair. ``home`` keeps the language of prompt lines already seen."""
+        yield rows(0, held)
+        slots = np.flatnonzero(words.any(axis=0))
+        yield rows(1, (slots, words[0][slots], words[1][slots]))
+        yield rows(2, (np.arange(len(PARTS)), parts_open[0], parts_open[1]))
+
+    kept = pairs.select("response").mapInArrow(run, "kind byte, k long, e long, t long").groupBy("kind", "k").agg(F.sum("e").alias("e"), F.sum("t").alias("t")).filter(f"kind > 0 or (t >= {LEAST_SEEN} and e > 0)").toArrow()
+    kind, keys, e, t = (kept[c].to_numpy() for c in ("kind", "k", "e", "t"))
+    words = np.zeros((2, WORD_SLOTS))
+    words[0][keys[kind == 1]], words[1][keys[kind == 1]] = e[kind == 1], t[kind == 1]
+    # The empty word stands for the number of texts; what neither has seen says nothing.
+    texts = np.maximum(words[:, _NO_WORD], 1)
+    share = [w / n + 1e-3 for w, n in zip(words, texts)]
+    own = np.flatnonzero(kind == 0)
+    order = own[np.argsort(keys[own])]
+    left_open = {PARTS[k]: (int(x), int(y)) for k, x, y in zip(keys[kind == 2], e[kind == 2], t[kind == 2])}
+    return Ends(keys[order], e[order], t[order], np.log(share[0] / share[1]).astype(np.float32), left_open)
+
+
+class Home:
+    """Languages of prompts: the posterior over all of its lines. Lines recur and are read once; the oldest are
+    forgotten between steps, never those of the step at hand."""
+
+    def __init__(self, bayes: NaiveBayes):
+        self.bayes = bayes
+        self.lines: dict[str, np.ndarray] = {}
+
+    def posteriors(self, prompts: list[str]) -> np.ndarray:
+        """The log-posterior of each prompt over the languages; even where it holds no line of LEAST_WORDS words."""
+        asked = [[x for x in map(str.strip, p.splitlines()) if x.count(" ") >= LEAST_WORDS - 1 or not x.isascii()] for p in prompts]
+        new = list(dict.fromkeys(x for own in asked for x in own if x not in self.lines))
+        if new:
+            letters = [letters_only(_KEY.sub(" ", x)) for x in new]
+            logs, total = self.bayes.logs(letters)
+            for x, t, own, n in zip(new, letters, logs, total):
+                self.lines[x] = own if substance(t)[0] >= LEAST_WORDS and n else np.zeros(len(LANGUAGES))
+        out = np.zeros((len(prompts), len(LANGUAGES)))
+        for i, own in enumerate(asked):
+            if own:
+                out[i] = np.sum([self.lines[x] for x in own], axis=0)
+        if not out.any(axis=1).all():
+            out[~out.any(axis=1), 0] = 1e3  # nothing to go by: English
+        while len(self.lines) > REMEMBERED:
+            del self.lines[next(iter(self.lines))]
+        top = out.max(axis=1, keepdims=True)
+        return out - top - np.log(np.exp(out - top).sum(axis=1, keepdims=True))
+
+
+def judge(prompts: list[str], responses: list[str | None], bayes: NaiveBayes, ends: Ends, home: Home) -> list[tuple[str | None, float]]:
+    """(defect or None, score) of each pair. ``home`` remembers the languages of prompt lines."""
     out: list[tuple[str | None, float]] = [(None, 0.0)] * len(responses)
-    answers: list[Answer | None] = []
-    texts, owner, new = [], [], []
+    read: list[Answer | None] = []
+    texts, owner = [], []
     for i, (p, r) in enumerate(zip(prompts, responses)):
         if is_empty(r):
             out[i] = ("empty", 1.0)
-            answers.append(None)
+            read.append(None)
             continue
         a = read_answer(r)
         if is_copied(p, r, a):
             out[i] = ("copied", 1.0)
-            answers.append(None)
+            read.append(None)
             continue
-        answers.append(a)
-        for t in texts_of(a):
-            texts.append(t)
-            owner.append(i)
-    # Lines of instructions recur; each is classified once.
-    asked = []
-    for p in prompts:
-        own = [x for x in (p or "").splitlines() if len(x) > 30 and "||" not in x][:4]
-        asked.append(own)
-        new += [x for x in own if x not in home]
-    new = list(dict.fromkeys(new))
-    if new:
-        home.update(zip(new, bayes.mean_logs([letters_only(x) for x in new]).argmax(axis=1).tolist()))
-        if len(home) > 20_000:
-            for s in list(home)[:10_000]:
-                del home[s]
+        read.append(a)
+        own = texts_of(a)
+        texts += own
+        owner += [i] * len(own)
     foreign = np.zeros(len(responses))
     if texts:
-        logs = bayes.mean_logs(texts)
-        for i, row in zip(owner, logs):
-            votes = [home[s] for s in asked[i] if s in home]
-            expected = max(set(votes), key=votes.count) if votes else 0
-            foreign[i] = max(foreign[i], float(row.max() - row[expected]) if np.isfinite(row[expected]) else 1.0)
-    for i, a in enumerate(answers):
+        asked = home.posteriors(prompts)
+        distinct = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+        logs, total = bayes.logs(list(distinct))
+        for i, t in zip(owner, texts):
+            own, n = logs[distinct[t]], max(1, int(total[distinct[t]]))
+            # Log-odds, an n-gram, of the best language against the languages of the prompt, weighted by their posterior.
+            at_home = asked[i] + own
+            top = at_home.max()
+            expected = top + np.log(np.exp(at_home - top).sum()) if np.isfinite(top) else -np.inf
+            foreign[i] = max(foreign[i], float(own.max() - expected) / n if np.isfinite(expected) else 1.0)
+    for i, a in enumerate(read):
         if a is None:
             continue
-        said = " ".join(a.prose)
-        answered = any(not _hollow(t) for t in a.items)
         if a.broken:
-            out[i] = ("truncated", 1.0)
-        elif foreign[i] > LEAST_ODDS:
+            p_end = ends.likelihood_open(a.broken)
+            if p_end < LEAST_OPEN:
+                out[i] = ("truncated", 1 - p_end)
+                continue
+        said = said_by(a)
+        answered = any(not _hollow(t) for t in a.items)
+        if foreign[i] > LEAST_ODDS:
             out[i] = ("other_language", float(foreign[i]))
-        elif not answered and _DECLINES.search(said.replace("’", "'")):
-            out[i] = ("refusal", 1.0)
+        elif not answers(a) and (odds := ends.declines(" ".join([said, *a.items]))) > 0:
+            out[i] = ("refusal", float(1 / (1 + np.exp(-odds))))
         elif not answered:
             out[i] = ("empty", 0.5) if a.structured else ("truncated", 0.5)
-        elif len(a.items) and all(len(t.split()) > 4 for t in a.items) and _DECLINES.search(" ".join(a.items).replace("’", "'")):
-            out[i] = ("refusal", 0.9)
         elif a.last and (p_end := ends.likelihood(a.last)) < LEAST_END:
             out[i] = ("truncated", 1 - p_end)
     return out
@@ -380,7 +472,7 @@ def pair_defects(pairs: DataFrame, bayes: NaiveBayes, ends: Ends) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bayes, ends = shared.value
-        home: dict[str, int] = {}
+        home = Home(bayes)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 ids, rounds, prompts, responses = (c.to_pylist() for c in batch.slice(at, 512).columns)

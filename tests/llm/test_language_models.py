@@ -1,7 +1,9 @@
+import re
 from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from larder.llm import langid, pairs
 from larder.llm import text as T
@@ -128,3 +130,56 @@ def test_many_documents_at_once_equal_one_by_one():
         want = langid.segments(cos[cuts[i] : cuts[i + 1]], words[cuts[i] : cuts[i + 1]]) if size[i] else []
         assert [(a, c) for a, _, c in got[i]] == [(a, c) for a, _, c in want]
         np.testing.assert_allclose([b for _, b, _ in got[i]], [b for _, b, _ in want], rtol=1e-5)
+
+
+GERMAN = "Bitte nennen Sie drei Küchen, die dieser Gast wahrscheinlich als Nächstes bestellt, und begründen Sie Ihre Wahl kurz."
+REASON = "Der Gast hat zuletzt immer thailändisch bestellt und war mit dem Essen sehr zufrieden."
+
+
+@needs
+@pytest.mark.parametrize("remembered", [20_000, 1])
+def test_the_prompts_language_does_not_depend_on_what_is_remembered(docs, remembered, monkeypatch):
+    monkeypatch.setattr(pairs, "REMEMBERED", remembered)
+    bayes = pairs.fit_bayes_on(docs)
+    home, ends = pairs.Home(bayes), pairs.Ends(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    # Boilerplate in another language first, the question itself last.
+    prompts = [f"You recommend food delivery to the guests of a house.\n{GERMAN}\n{GERMAN}\n{GERMAN} {i}" for i in range(30)] + [PROMPT]
+    said = [f'{{"cuisines": ["thai"], "reasoning": "{REASON}"}}'] * 31
+    for _ in range(2):
+        got = [d for d, _ in pairs.judge(prompts, said, bayes, ends, home)]
+        assert got == [None] * 30 + ["other_language"]
+    assert len(home.lines) <= max(remembered, 40)
+
+
+@needs
+def test_foreign_sentences_in_lists_and_nested_objects(docs):
+    bayes = pairs.fit_bayes_on(docs)
+    ends = pairs.Ends(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    said = [f'{{"cuisines": ["thai"], "notes": [{{"why": "{REASON}"}}]}}', f"1. thai\n2. {REASON}", f'{{"cuisines": ["thai"], "reasoning": "a1b2||thai: {REASON}"}}', '{"cuisines": ["thai"], "notes": [{"why": "similar users agree with thai"}]}']
+    assert [d for d, _ in pairs.judge([PROMPT] * 4, said, bayes, ends, pairs.Home(bayes))] == ["other_language"] * 3 + [None]
+
+
+@needs
+def test_recall_of_made_defects(spark, docs):
+    """Sound answers broken off at random places, replaced by refusals of unseen wording, or given another language."""
+    rnd = np.random.default_rng(9)
+    rows = spark.read.parquet(f"{DATA}/stage9_repeat_detailed.parquet").select("result_id", F.lit(1).alias("round_no"), F.col("round1_prompt").alias("prompt"), F.col("round1_raw_response").alias("response"))
+    bayes = pairs.fit_bayes_on(docs)
+    all_rows, home = rows.collect(), pairs.Home(bayes)
+    found = pairs.judge([r.prompt for r in all_rows], [r.response for r in all_rows], bayes, pairs.count_ends(rows), home)
+    sound = [r for r, (d, _) in zip(all_rows, found) if d is None]
+    refusals = ["I cannot rank places for a person I do not know.", "My policy does not allow predictions on private orders.", "I won't provide a list, as this concerns personal data."]
+    made = {
+        "truncated": lambda i, r: r.response[: int(rnd.choice([m.start() + 1 for m in re.finditer(r"[a-z](?=[a-z])", r.response) if m.start() > 15]))],  # inside a word
+        "refusal": lambda i, r: refusals[i % 3],
+        "other_language": lambda i, r: f"{REASON}\n{r.response}",
+        "empty": lambda i, r: ("", "null", "N/A", "[]", '{"cuisines": []}')[i % 5],
+        "copied": lambda i, r: r.prompt[: int(rnd.integers(60, len(r.prompt)))].strip(),
+    }
+    for defect, make in made.items():
+        some = [(i, 1, r.prompt, make(i, r) if i % 10 == 0 else r.response) for i, r in enumerate(sound * 4)]
+        ends = pairs.count_ends(spark.createDataFrame(some, "result_id long, round_no int, prompt string, response string"))
+        got = pairs.judge([r[2] for r in some], [r[3] for r in some], bayes, ends, home)
+        hit = [d == defect for (i, *_), (d, _) in zip(some, got) if i % 10 == 0]
+        other = [d for (i, *_), (d, _) in zip(some, got) if i % 10 and d]
+        assert sum(hit) >= 0.9 * len(hit) and len(other) <= 0.01 * len(some), (defect, sum(hit), len(hit), len(other))
