@@ -7,9 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: str = "*", shuffle: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
-    return (
+def local_session(cores: str = "*", shuffle: int = 8, memory: str = "8g", checkpoints: str | None = None) -> SparkSession:
+    """A session for tests and benchmarks on one machine; ``checkpoints`` is the folder of durable cuts."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("larder")
         .config("spark.driver.memory", memory)
@@ -17,8 +17,9 @@ def local_session(cores: str = "*", shuffle: int = 8, memory: str = "8g") -> Spa
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    return (builder.config("spark.checkpoint.dir", checkpoints) if checkpoints else builder).getOrCreate()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,13 +44,18 @@ def shuffle_width(spark: SparkSession) -> int:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the plan with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where neither that setting nor a folder set by the caller exists (tests) is
-    a temporary one made. The files survive the loss of any executor.
+    The folder is the one set on the context or the one the cluster names in
+    ``spark.checkpoint.dir``. Only a local master, which has no other machines,
+    gets a temporary folder where both are unset; a cluster must name one. The
+    files survive the loss of any executor, and are removed once nothing refers
+    to them any more where the session has
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("no shared folder for checkpoints: set spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="larder-checkpoint-"))
     return df.checkpoint(eager=True)
 

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from larder.functions import ids
@@ -37,3 +39,20 @@ def test_canonical_names_by_join(spark, monkeypatch):
 def test_empty_vocabulary(spark):
     df = spark.createDataFrame([("A  b",)], "x string")
     assert ids.with_canonical(df, "x", "got", spark.createDataFrame([], "v string"), "v").first().got == "a b"
+
+
+def test_both_ways_of_matching_agree(spark, monkeypatch):
+    """Random words over few letters, many of them near several names; swaps of letters that are no neighbours are none."""
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcd ") for _ in range(n))
+    names = [(word(rnd.randint(1, 6)),) for _ in range(40)] + [("abcd",), ("thai food",), ("thaifoo",), ("thaif ood",)]
+    writings = [(w,) for w in {word(rnd.randint(0, 7)) for _ in range(400)} | {"bcda", "thai fod", "THAIFOOD", "adcb"}]
+    df, vocab = spark.createDataFrame(writings, "x string"), spark.createDataFrame(names, "v string")
+    got = {r.x: r.got for r in ids.with_canonical(df, "x", "got", vocab, "v").collect()}
+    monkeypatch.setattr(ids, "VOCABULARY_BOUND", 2)
+    assert {r.x: r.got for r in ids.with_canonical(df, "x", "got", vocab, "v").collect()} == got
+    monkeypatch.setattr(ids, "BROADCAST_WRITINGS", 0)
+    assert {r.x: r.got for r in ids.with_canonical(df, "x", "got", vocab, "v").collect()} == got
+    few = spark.createDataFrame([("abcd",), ("thai food",), ("thaifoo",)], "v string")
+    some = spark.createDataFrame([("bcda",), ("thai fod",)], "x string")
+    assert {r.x: r.got for r in ids.with_canonical(some, "x", "got", few, "v").collect()} == {"bcda": "bcda", "thai fod": "thai food"}
