@@ -11,7 +11,7 @@ from larder.functions.ids import clean_id
 from larder.session import durable, within
 
 #: Orphan keys up to this number (some 50 bytes each) are broadcast to the rows; more are joined by shuffle.
-BROADCAST_KEYS = 300_000
+BROADCAST_KEYS = 100_000
 
 
 @dataclass(frozen=True)
@@ -33,22 +33,26 @@ def _references(rows: DataFrame, refs: dict[str, str], carry: list[str]) -> Data
 def orphan_keys(rows: DataFrame, refs: dict[str, str], parents: list[Parent]) -> DataFrame:
     """Distinct (ref_table, ref_key, day) that hold no valid parent, with orphan_kind and the number of rows.
 
-    ``missing``: no parent row with that key; ``late``: all of them begin after
-    the day; ``deleted``: some began by then, none is valid. A parent row without
-    a begin counts as always begun; without an end, as still valid. Null parent
-    keys match nothing. A reference without a day is only ever ``missing``.
+    Keys are anti-joined with the parent rows valid on their day; only what is
+    left is looked up again to tell its kind. ``missing``: no parent row with that
+    key; ``late``: all of them begin after the day; ``deleted``: some began by
+    then, none is valid. A parent row without a begin counts as always begun;
+    without an end, as still valid. Null parent keys match nothing. A reference
+    without a day is only ever ``missing``.
     """
     keys = _references(rows, refs, []).groupBy("ref_table", "ref_key", "day").agg(F.count(F.lit(1)).alias("n_rows"))
     spans = None
     for p in parents:
         s = p.rows.select(F.lit(p.name).alias("ref_table"), clean_id(F.col(p.key)).alias("ref_key"), F.col(p.begins).alias("begins"), F.col(p.ends).alias("ends")).filter("ref_key is not null")
         spans = s if spans is None else spans.unionByName(s)
-    spans = spans.distinct().withColumn("there", F.lit(True))
-    begun = F.col("there") & F.coalesce(F.col("begins") <= F.col("day"), F.lit(True))
-    valid = begun & F.coalesce(F.col("day") < F.col("ends"), F.lit(True))
-    met = keys.join(spans, ["ref_table", "ref_key"], "left").groupBy("ref_table", "ref_key", "day", "n_rows").agg(F.max("there").alias("there"), F.max(begun).alias("begun"), F.max(valid).alias("valid"))
-    kind = F.when(F.col("there").isNull(), "missing").when(~F.col("begun"), "late").otherwise("deleted")
-    return met.filter("not coalesce(valid, false)").select("ref_table", "ref_key", "day", kind.alias("orphan_kind"), "n_rows")
+    same = (keys["ref_table"] == spans["ref_table"]) & (keys["ref_key"] == spans["ref_key"])
+    begun = F.coalesce(spans["begins"] <= keys["day"], F.lit(True))
+    valid = begun & F.coalesce(keys["day"] < spans["ends"], F.lit(True))
+    orphans = keys.join(spans, same & valid, "left_anti")
+    # One row per parent key: whether the key is there at all, and when its first row begins (null: always).
+    known = spans.groupBy("ref_table", "ref_key").agg(F.when(F.count_if(F.col("begins").isNull()) == 0, F.min("begins")).alias("first"), F.lit(True).alias("there"))
+    kind = F.when(F.col("there").isNull(), "missing").when(F.col("first") > F.col("day"), "late").otherwise("deleted")
+    return orphans.join(known, ["ref_table", "ref_key"], "left").select("ref_table", "ref_key", "day", kind.alias("orphan_kind"), "n_rows")
 
 
 def orphan_rows(rows: DataFrame, row_id: str, refs: dict[str, str], parents: list[Parent], broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:

@@ -43,7 +43,7 @@ def skew_safe_profile(rows: DataFrame, fields: list[str], unit: str, party: str,
     own = fields.index(party) if party in fields else -1
     parties = long.filter(F.col("f") != own).filter("_p is not null").select("f", "key", "_p").distinct().groupBy("f", "key").agg(F.count(F.lit(1)).alias("n_parties"))
     both = by_unit.join(parties, ["f", "key"], "left")
-    total = F.broadcast(rows.agg(F.count(F.lit(1)).alias("total_rows")))  # one row
+    total = F.broadcast(grain.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows")))  # one row
     name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("f") + 1)
     n_parties = F.when(F.col("f") == own, F.lit(1)).otherwise(F.coalesce("n_parties", F.lit(0)))
     return both.crossJoin(total).select(name.alias("field_name"), F.col("key").alias("key_value"), "n_rows", "n_units", n_parties.cast("long").alias("n_parties"), (F.coalesce("_a", F.lit(0)) / UNIT).alias("amount"), "total_rows", (F.col("n_rows") / F.col("total_rows")).alias("share"))
