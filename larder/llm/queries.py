@@ -20,20 +20,34 @@ from larder.session import spread, table
 TOKENIZER_SETTING, TOKENIZER = "spark.larder.tokenizer", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def order_events(spark: SparkSession, d: str) -> DataFrame:
-    """One event per order: customer, vendor and cuisine of its lowest row_id, in clean form."""
+def order_events(spark: SparkSession, d: str, as_written: bool = False) -> DataFrame:
+    """One event per order: customer, vendor and cuisine of its lowest row_id, in clean form (the cuisine as written on request)."""
     rows = table(spark, d, "food_orders").select("order_id", "row_id", F.struct("customer_id", "vendor_id", "cuisine", "order_day", "order_time").alias("x"))
     first = rows.filter("order_id is not null").groupBy("order_id").agg(F.min_by("x", "row_id").alias("x")).select("order_id", "x.*")
-    named = ids.with_canonical(first, "cuisine", "cuisine_name", table(spark, d, "vendors"), "primary_cuisine")
+    named = first.withColumn("cuisine_name", ids.squeezed(F.col("cuisine"))) if as_written else ids.with_canonical(first, "cuisine", "cuisine_name", table(spark, d, "vendors"), "primary_cuisine")
     day, sec = ids.day_number(F.col("order_day")), ids.seconds_of_day(F.col("order_time"))
     return named.select("order_id", ids.clean_id(F.col("customer_id")).alias("customer_id"), ids.clean_id(F.col("vendor_id")).alias("vendor_id"), F.col("cuisine_name").alias("cuisine"), day.alias("day"), "order_time", (day * 86400 + sec).alias("at")).filter(F.col("customer_id") != ids.SHARED_ACCOUNT)
 
 
-def p2_runs(spark: SparkSession, d: str) -> DataFrame:
-    runs = collapse_runs(order_events(spark, d), "customer_id", ["day", "order_time", "order_id"], ["vendor_id", "cuisine"], "order_id", "at")
+def _runs(events: DataFrame, **how: object) -> DataFrame:
+    runs = collapse_runs(events, "customer_id", ["day", "order_time", "order_id"], ["vendor_id", "cuisine"], "order_id", "at", **how)
     return runs.select(F.col("entity").alias("customer_id"), F.col("same_vendor_id").alias("vendor_id"), F.col("same_cuisine").alias("cuisine"), F.col("n").alias("n_orders"), F.col("first_id").alias("first_order_id"), F.col("last_id").alias("last_order_id"), F.col("duration").alias("seconds"))
 
 
+def p2_runs(spark: SparkSession, d: str) -> DataFrame:
+    return _runs(order_events(spark, d))
+
+
+def p2_week_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs whose orders lie no more than seven days apart."""
+    return _runs(order_events(spark, d), max_gap=7 * 86400)
+
+
+def p2_near_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of two and more by the cuisine as written, at most two letters from the run's first, no more than 30 days apart."""
+    return _runs(order_events(spark, d, as_written=True), max_gap=30 * 86400, tolerance={"cuisine": 2}, least=2)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     runs = collapse_runs(order_events(spark, d), "customer_id", ["day", "order_time", "order_id"], ["vendor_id", "cuisine"], "order_id", "at", least=2)
     return runs.select(F.col("entity").alias("customer_id"), F.col("first_id").alias("first_order_id"), F.col("last_id").alias("last_order_id"))
@@ -99,5 +113,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (p2_found, p2_runs, p3_found, p3_defects, p4_found, p4_pairs, p7_found, p7_report, p8_mixture, p8_shares, p9_found, p9_segments)
+    every = (p2_found, p2_runs, p2_week_runs, p2_near_runs, p3_found, p3_defects, p4_found, p4_pairs, p7_found, p7_report, p8_mixture, p8_shares, p9_found, p9_segments)
     return {f.__name__: f for f in every}

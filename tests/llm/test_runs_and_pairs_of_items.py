@@ -60,6 +60,46 @@ def test_nulls_ties_repeats_and_nothing(spark):
     assert runs(spark, []) == []
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def brute_near(rows, tolerance, max_gap):
+    out = []
+    for w, t, i, v, c, *_ in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        last = out[-1] if out else None
+        if last and last[:2] == [w, v] and distance(last[2], c) <= tolerance and (max_gap is None or t - last[6] <= max_gap):
+            last[3] += 1
+            last[5], last[6] = i, t
+        else:
+            out.append([w, v, c, 1, i, i, t, t])
+    return sorted((w, v, c, n, a, b, t1 - t0) for w, v, c, n, a, b, t1, t0 in out)
+
+
+@pytest.mark.parametrize("max_gap", [None, 6])
+def test_runs_around_anchors(spark, max_gap):
+    """Writings that drift away from the first of a run, in a hot entity over many tasks."""
+    rnd = random.Random(8)
+    rows, c, t = [], "abcd", 0
+    for i in range(1200):
+        t += rnd.choice([1, 1, 2, 9])
+        if rnd.random() < 0.4:
+            k = rnd.randrange(len(c))
+            c = c[:k] + rnd.choice("abcd") + c[k + 1 :]
+        rows.append(("hot", t, i, "v" if rnd.random() < 0.98 else "w", c, "", ""))
+    rows += [(f"e{i % 30}", i, 5000 + i, "v", rnd.choice(["thai", "tahi", "thaii", "pizza"]), "", "") for i in range(300)]
+    want = brute_near(rows, 1, max_gap)
+    rnd.shuffle(rows)
+    for parts in (1, 6, 17):
+        assert runs(spark, rows, parts, tolerance={"cuisine": 1}, max_gap=max_gap) == want
+
+
 def brute_pairs(rows):
     baskets = {}
     for b, x in rows:
