@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from larder.session import durable, within
 
 #: Baskets with more rows than this are cut into chunks of about ``CHUNK`` items.
-MAX_BASKET, CHUNK = 512, 256
+MAX_BASKET, CHUNK = 128, 64
 #: Up to so many ids of huge baskets (8 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 100_000
 
@@ -42,16 +42,16 @@ def pair_counts(rows: DataFrame, basket: str, items: dict[str, str], max_basket:
     by_kind = [_units(F.col(k), k) for k in items]
     units = sets.select(F.explode(F.concat(*by_kind) if len(by_kind) > 1 else by_kind[0]).alias("u")).select("u.*")
     if some:
-        units = units.unionByName(_chunked(narrow.join(ids, "basket", "left_semi"), list(items), chunk))
+        units = units.unionByName(_chunked(narrow.join(ids, "basket", "left_semi"), list(items), chunk, small))
     return units.groupBy("kind", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _chunked(narrow: DataFrame, kinds: list[str], chunk: int) -> DataFrame:
-    """The units of huge baskets, by chunk pairs."""
+def _chunked(narrow: DataFrame, kinds: list[str], chunk: int, small: bool) -> DataFrame:
+    """The units of huge baskets, by chunk pairs; ``small``: their ids may be broadcast."""
     long = narrow.select("basket", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"item_{k}").alias("item")) for k in kinds])).alias("x")).select("basket", "x.kind", "x.item").filter("item is not null")
     held = durable(long.distinct())
     sizes = held.groupBy("kind", "basket").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("k"))
-    placed = held.join(sizes, ["kind", "basket"]).withColumn("c", F.pmod(F.xxhash64("item"), F.col("k")).cast("int"))
+    placed = held.join(F.broadcast(sizes) if small else sizes, ["kind", "basket"]).withColumn("c", F.pmod(F.xxhash64("item"), F.col("k")).cast("int"))
     spread = placed.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("lo", F.least("c", "d")).withColumn("hi", F.greatest("c", "d"))
     # A block holds the items of two chunks at most; the left side are those of the lower chunk.
     blocks = spread.groupBy("kind", "basket", "lo", "hi").agg(F.collect_list(F.when(F.col("c") == F.col("lo"), F.col("item"))).alias("x"), F.collect_list(F.when(F.col("c") == F.col("hi"), F.col("item"))).alias("y"))
@@ -62,16 +62,17 @@ def _chunked(narrow: DataFrame, kinds: list[str], chunk: int) -> DataFrame:
     return pairs.unionByName(singles).unionByName(whole)
 
 
-def associations(rows: DataFrame, basket: str, items: dict[str, str], max_basket: int = MAX_BASKET, chunk: int = CHUNK) -> DataFrame:
+def associations(rows: DataFrame, basket: str, items: dict[str, str], max_basket: int = MAX_BASKET, chunk: int = CHUNK, least: int = 1) -> DataFrame:
     """For each kind and pair of items a < b the shared baskets and their ratio to independent choice.
 
     ``items`` maps a kind to its column, in canonical form. Columns: kind, item_a,
     item_b, n_ab, n_a, n_b, n, ratio (n_ab * n / (n_a * n_b)), pmi (its base-2
-    logarithm) and jaccard. Counts are of distinct baskets; n counts those with
+    logarithm) and jaccard. Pairs with fewer than ``least`` shared baskets are left
+    out before anything is kept. Counts are of distinct baskets; n counts those with
     at least one item of the kind. Null items count nowhere and rows without a
     basket are left out; repeated rows count once; an empty table gives no rows.
     """
-    counts = durable(pair_counts(rows, basket, items, max_basket, chunk))
+    counts = durable(pair_counts(rows, basket, items, max_basket, chunk).filter(F.col("b").isNull() | (F.col("n") >= least)))
     pairs = counts.filter("b is not null").select("kind", F.col("a").alias("item_a"), F.col("b").alias("item_b"), F.col("n").alias("n_ab"))
     single = counts.filter("a is not null and b is null")
     total = F.broadcast(counts.filter("a is null").select("kind", F.col("n").alias("n")))  # one row per kind

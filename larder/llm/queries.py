@@ -53,15 +53,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return runs.select(F.col("entity").alias("customer_id"), F.col("first_id").alias("first_order_id"), F.col("last_id").alias("last_order_id"))
 
 
-def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+def p4_pairs(spark: SparkSession, d: str, least: int = 1) -> DataFrame:
     named = ids.with_canonical(table(spark, d, "food_orders").select("order_id", "vendor_id", "cuisine"), "cuisine", "cuisine_name", table(spark, d, "vendors"), "primary_cuisine")
     rows = named.select("order_id", ids.clean_id(F.col("vendor_id")).alias("vendor"), F.col("cuisine_name").alias("cuisine"))
-    pairs = associations(rows, "order_id", {"cuisine": "cuisine", "vendor": "vendor"}).withColumnRenamed("kind", "item_kind")
+    pairs = associations(rows, "order_id", {"cuisine": "cuisine", "vendor": "vendor"}, least=least).withColumnRenamed("kind", "item_kind")
     return pairs.withColumns({c: F.round(c, 6) for c in ("ratio", "pmi", "jaccard")})
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return p4_pairs(spark, d).filter("n_ab >= 5 and n_ab * n >= 1.5 * n_a * n_b").select("item_kind", "item_a", "item_b")
+    return p4_pairs(spark, d, least=5).filter("n_ab >= 5 and n_ab * n >= 1.5 * n_a * n_b").select("item_kind", "item_a", "item_b")
 
 
 def p3_defects(spark: SparkSession, d: str) -> DataFrame:
