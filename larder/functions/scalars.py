@@ -122,6 +122,19 @@ def without_ansi(text: Column) -> Column:
     return F.regexp_replace(text, "\x1b\\[[0-9;]*[A-Za-z]", "")
 
 
+def chat_messages(system: Column, instruction: Column, given: Column, history: Column | None = None) -> Column:
+    """Chat messages up to the user's: system and turns of ``history`` (role, content) where they hold anything, then the
+    instruction with what is given, a blank line between them. Nulls and empty texts count as absent."""
+    turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    said = lambda c: F.coalesce(c, F.lit(""))
+    user = F.when(said(given) == "", said(instruction)).otherwise(F.concat(said(instruction), F.lit("\n\n"), given))
+    first = F.filter(F.array(turn("system", said(system))), lambda x: x["content"] != "")
+    if history is None:
+        return F.concat(first, F.array(turn("user", user)))
+    told = F.filter(F.transform(F.coalesce(history, F.array().cast("array<struct<role:string,content:string>>")), lambda x: F.struct(said(x["role"]).alias("role"), said(x["content"]).alias("content"))), lambda x: (x["role"] != "") & (x["content"] != ""))
+    return F.concat(first, told, F.array(turn("user", user)))
+
+
 def slug(name: Column) -> Column:
     """Runs of other signs than letters and digits as one underscore; ``agent`` if nothing is left."""
     s = F.regexp_replace(F.regexp_replace(name, r"[^0-9A-Za-z]+", "_"), r"^_+|_+$", "")

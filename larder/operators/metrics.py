@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.functions.scalars import hit_of, ndcg_of
+from larder.session import durable, shuffle_width
 
 
 def ranking_report(ranks: DataFrame, columns: dict[str, str], ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
@@ -64,19 +65,41 @@ def disagreements(rows: DataFrame, label: str, base: str, tuned: str) -> DataFra
 def length_summary(rows: DataFrame, column: str, limit: int) -> DataFrame:
     """Count, extremes, mean and exact interpolated percentiles of a length, and how many exceed ``limit``."""
     c = F.col(column)
-    return rows.filter(c.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("least"), F.max(c).alias("most"), F.avg(c).alias("mean"), *[F.percentile(c, F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)], F.count_if(c > limit).alias("n_over"), F.coalesce(F.try_divide(100.0 * F.count_if(c > limit), F.count(F.lit(1))), F.lit(0.0)).alias("pct_over"))
+    qs = {f"p{int(q * 100)}": q for q in (0.5, 0.9, 0.95, 0.99)}
+    at = F.broadcast(interpolated_percentiles(rows, column, qs, shuffle_width(rows.sparkSession)))  # one row
+    whole = rows.filter(c.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.min(c).alias("least"), F.max(c).alias("most"), F.avg(c).alias("mean"), F.count_if(c > limit).alias("n_over"), F.coalesce(F.try_divide(100.0 * F.count_if(c > limit), F.count(F.lit(1))), F.lit(0.0)).alias("pct_over"))
+    return whole.crossJoin(at).select("n", "least", "most", "mean", *qs, "n_over", "pct_over")
 
 
-def nearest_percentiles(rows: DataFrame, column: str, parts: int) -> DataFrame:
-    """Percentiles by index: element floor(n*q) of the sorted values, the largest where n is small.
+def cumulated(rows: DataFrame, column: str, parts: int) -> DataFrame:
+    """(v, c, upto): distinct values of a column with their counts and the number of values up to each.
 
-    Values are counted first, so the sort runs over distinct values.
+    Values are counted first, so the sort runs over distinct values, a range of them in each task. The ranges are cut
+    durably, since they are read twice and must not be drawn again.
     """
     v = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    ranged = v.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id())
+    ranged = durable(v.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()))
     sizes = ranged.groupBy("part").agg(F.sum("c").alias("size"))
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("size")
-    upto = ranged.join(F.broadcast(before), "part").withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v")))
-    n = F.broadcast(v.agg(F.sum("c").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean")))
+    return ranged.join(F.broadcast(before), "part").select("v", "c", (F.col("before") + F.sum("c").over(Window.partitionBy("part").orderBy("v"))).alias("upto"))
+
+
+def interpolated_percentiles(rows: DataFrame, column: str, qs: dict[str, float], parts: int) -> DataFrame:
+    """One row with exact percentiles, interpolated between neighbouring values; null where there is none."""
+    upto = cumulated(rows, column, parts)
+    n = upto.agg(F.max("upto").alias("n"))  # one row
+    at = lambda i: F.min(F.when(F.col("upto") > i, F.col("v"))).cast("double")
+    out = []
+    for name, q in qs.items():
+        place = (F.col("n") - 1) * F.lit(q)
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        out.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    return upto.crossJoin(F.broadcast(n)).agg(*out)
+
+
+def nearest_percentiles(rows: DataFrame, column: str, parts: int) -> DataFrame:
+    """Percentiles by index: element floor(n*q) of the sorted values, the largest where n is small."""
+    upto = cumulated(rows, column, parts)
+    n = F.broadcast(upto.agg(F.sum("c").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean")))  # one row
     at = lambda q, least: F.when(F.col("n") >= least, F.min(F.when(F.col("upto") > F.floor(F.col("n") * q), F.col("v")))).otherwise(F.col("most"))
     return upto.crossJoin(n).groupBy("n", "least", "most", "mean").agg(at(0.5, 0).alias("p50"), at(0.9, 10).alias("p90"), at(0.95, 20).alias("p95"), at(0.99, 100).alias("p99"))

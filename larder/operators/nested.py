@@ -27,6 +27,10 @@ _STRUCT = np.zeros(256, bool)
 _STRUCT[[ord(x) for x in "{}[],:"]] = True
 
 
+#: A slot written behind a plain element, such as `` (Mon 18:00)``: it is no part of the element's key.
+SLOT = r"\s*\((?:[A-Za-z]{2,9}\.? )?\d{1,2}:\d{2}(?::\d{2})?\)\s*$"
+
+
 @dataclass(frozen=True)
 class Child:
     """A nested list that becomes a table.
@@ -258,7 +262,7 @@ def _emit(ix: Index, rec: np.ndarray, cid: np.ndarray, parent: np.ndarray | None
         parts.append(ix.values(at))
     key = parts[0]
     if plain.any():
-        key = pc.if_else(pa.array(plain), pc.replace_substring_regex(key, r"\s*\([^()]*\)\s*$", "") if len(parts) > 1 else key, key)
+        key = pc.if_else(pa.array(plain), pc.replace_substring_regex(key, SLOT, "") if len(parts) > 1 else key, key)
     if keyed.any():
         at = np.where(keyed, ix.k_start[v], 0), np.where(keyed, ix.k_end[v], 0)
         key = pc.if_else(pa.array(keyed), _unescaped(ix.texts(at[0] + 1, at[1] - 1)), key)

@@ -79,4 +79,4 @@ def sample_by_id(orders: DataFrame, first: int, last: int) -> DataFrame:
 
 def random_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` rows in the order of a seeded hash of their key."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), key).limit(n)

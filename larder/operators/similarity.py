@@ -97,12 +97,13 @@ def history_candidates(seen: DataFrame, similar: DataFrame, per_seed: int, most:
 
     ``seen`` holds distinct (customer_id, item), ``similar`` (a, b, sim) of items.
     """
-    # A seed's nearest unseen items stand among its first per_seed + |history| neighbours.
+    # A seed's nearest unseen items stand among its first per_seed + |history| neighbours; an item is kept that far for
+    # the longest history it is part of, so one long history widens its own items only.
     size = seen.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n_seen"))
-    most_seen = F.broadcast(size.agg(F.max("n_seen").alias("most_seen")))  # one row
-    by_rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("sim", 12)), "b"))
-    first = similar.withColumn("at", by_rank).crossJoin(most_seen).filter(F.col("at") <= F.col("most_seen") + per_seed)
     sized = seen.join(size, "customer_id")
+    reach = sized.groupBy(F.col("item").alias("a")).agg(F.max("n_seen").alias("reach"))
+    by_rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("sim", 12)), "b"))
+    first = similar.join(reach, "a").withColumn("at", by_rank).filter(F.col("at") <= F.col("reach") + per_seed)
     near = sized.join(first, (sized["item"] == first["a"]) & (first["at"] <= sized["n_seen"] + per_seed)).select("customer_id", "a", "b", "sim")
     fresh = near.join(seen.select("customer_id", F.col("item").alias("b")), ["customer_id", "b"], "left_anti")
     seed = Window.partitionBy("customer_id", "a").orderBy(F.desc(F.round("sim", 12)), "b")

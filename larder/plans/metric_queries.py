@@ -208,7 +208,9 @@ def metric_event_types(s, d):
 @R.add("SELECT count(round1_llm_ms) AS n, round(avg(round1_llm_ms), 6) AS mean, round(stddev_samp(round1_llm_ms), 6) AS std, min(round1_llm_ms) AS least, round(quantile_cont(round1_llm_ms, 0.25), 6) AS p25, round(quantile_cont(round1_llm_ms, 0.5), 6) AS p50, round(quantile_cont(round1_llm_ms, 0.75), 6) AS p75, max(round1_llm_ms) AS most FROM stage9_repeat_detailed")
 def metric_describe(s, d):
     c = F.col("round1_llm_ms")
-    return table(s, d, "stage9_repeat_detailed").agg(F.count(c).alias("n"), r6(F.avg(c)).alias("mean"), r6(F.stddev_samp(c)).alias("std"), F.min(c).alias("least"), *[r6(F.percentile(c, F.lit(q))).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75)], F.max(c).alias("most"))
+    t = table(s, d, "stage9_repeat_detailed")
+    at = metrics.interpolated_percentiles(t, "round1_llm_ms", {f"p{int(q * 100)}": q for q in (0.25, 0.5, 0.75)}, shuffle_width(s))  # one row
+    return t.agg(F.count(c).alias("n"), r6(F.avg(c)).alias("mean"), r6(F.stddev_samp(c)).alias("std"), F.min(c).alias("least"), F.max(c).alias("most")).crossJoin(F.broadcast(rounded(at)))
 
 
 # --- exploration of results
@@ -282,7 +284,8 @@ def explore_similarity(s, d):
 @R.add(f"WITH {RK}, m AS (SELECT *, list_max(sims) AS x FROM rk WHERE len(sims) > 0), q AS (SELECT quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.5) AS b, quantile_cont(x, 0.75) AS c FROM m), z AS (SELECT m.*, CASE WHEN x <= a THEN 1 WHEN x <= b THEN 2 WHEN x <= c THEN 3 ELSE 4 END AS quartile FROM m, q) SELECT CAST(quartile AS INT) AS quartile, {_BREAK} FROM z GROUP BY 1")
 def explore_similarity_quartiles(s, d):
     k = ranked(s, d).filter(F.size("sims") > 0).withColumn("x", F.array_max("sims"))
-    q = F.broadcast(k.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")))  # one row
+    at = metrics.interpolated_percentiles(k, "x", {"a": 0.25, "b": 0.5, "c": 0.75}, shuffle_width(s))
+    q = F.broadcast(at.select(F.array("a", "b", "c").alias("q")))  # one row
     x = F.col("x")
     binned = k.crossJoin(q).withColumn("quartile", F.when(x <= F.col("q")[0], 1).when(x <= F.col("q")[1], 2).when(x <= F.col("q")[2], 3).otherwise(4))
     return breakdown(binned, "quartile")

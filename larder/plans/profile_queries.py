@@ -119,7 +119,7 @@ def proj_slug(s, d):
 
 # --- filters, semi-, anti- and outer joins, sets
 
-@R.add(f"WITH {OI} SELECT customer_id, count(DISTINCT order_id) AS n_orders FROM train GROUP BY 1 HAVING count(DISTINCT order_id) BETWEEN 5 AND 200")
+@R.add(f"WITH {OI} SELECT customer_id, count(DISTINCT order_id) AS n_orders FROM train GROUP BY 1 HAVING count(DISTINCT order_id) >= 5")
 def filter_active_customers(s, d):
     return active(train(s, d))
 
@@ -135,7 +135,7 @@ def repeat_rows(s, d, least: int = 5, most: int | None = None):
     return test(s, d).join(known, ["customer_id", "vendor_id"], "left_semi")
 
 
-ACTIVE = "active AS (SELECT customer_id FROM train GROUP BY 1 HAVING count(DISTINCT order_id) BETWEEN 5 AND 200), repeats AS (SELECT t.* FROM test t WHERE EXISTS (SELECT 1 FROM train x WHERE x.customer_id = t.customer_id AND x.vendor_id = t.vendor_id AND x.customer_id IN (SELECT customer_id FROM active)))"
+ACTIVE = "active AS (SELECT customer_id FROM train GROUP BY 1 HAVING count(DISTINCT order_id) >= 5), repeats AS (SELECT t.* FROM test t WHERE EXISTS (SELECT 1 FROM train x WHERE x.customer_id = t.customer_id AND x.vendor_id = t.vendor_id AND x.customer_id IN (SELECT customer_id FROM active)))"
 
 
 @R.add(f"WITH {OI}, {ACTIVE} SELECT row_id, customer_id, order_id, vendor_id FROM repeats")

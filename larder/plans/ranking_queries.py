@@ -166,7 +166,7 @@ def rank_offline_pipeline(s, d):
     return ranking.offline_scores(h, c).withColumn("rank", rank).select(F.col("sample").alias("result_id"), "vendor_id", "cuisine", r6("score").alias("score"), "rank")
 
 
-@R.add()
+@R.add(f"WITH {RES} SELECT result_id, regexp_extract(coalesce(round1_prompt, ''), '\\|\\|([a-z ]+)', 1) AS response FROM res")
 def rank_scorer_interface(s, d):
     """Prompts through the pluggable scorer, here one that answers with the first listed item."""
     def first_item(batch):

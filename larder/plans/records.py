@@ -33,6 +33,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _children(spark, d, False).select("src", "rec_id", "child", "parent_pos", "pos", "item_key")
 
 
+def p1_detailed(spark: SparkSession, d: str) -> DataFrame:
+    """The child rows of the typed columns alone."""
+    return flatten_columns(table(spark, d, "stage9_repeat_detailed").select("result_id", *RESULT), "result_id", RESULT).select("rec_id", "child", "parent_pos", "pos", "item_key")
+
+
 def p1_tables(spark: SparkSession, d: str) -> DataFrame:
     """The child tables with each element's own JSON text, from which its other fields can be read."""
     return _children(spark, d, True)
@@ -96,8 +101,20 @@ orphans AS (SELECT *, CASE WHEN NOT there THEN 'missing' WHEN NOT begun THEN 'la
 """
 
 
+def _elements(column: str, child: str, key: str) -> str:
+    return f"SELECT result_id AS rec_id, '{child}' AS child, -1 AS parent_pos, CAST(i - 1 AS INT) AS pos, {key} AS item_key FROM (SELECT result_id, unnest({column}) AS x, generate_subscripts({column}, 1) AS i FROM stage9_repeat_detailed) WHERE x IS NOT NULL"
+
+
+_PLACE = "coalesce(x.vendor_id, '') || '||' || coalesce(x.cuisine, '')"
+_P1 = f"""{_elements("order_history_tuples", "history", _PLACE)}
+UNION ALL {_elements("lightgcn_top_cuisines", "cuisine", "coalesce(x.cuisine, '')")}
+UNION ALL {_elements("similar_users", "user", "coalesce(x.user_id, '')")}
+UNION ALL SELECT result_id, 'user_record', CAST(i - 1 AS INT), CAST(j - 1 AS INT), {_PLACE} FROM (SELECT result_id, i, unnest(u.records) AS x, generate_subscripts(u.records, 1) AS j FROM (SELECT result_id, unnest(similar_users) AS u, generate_subscripts(similar_users, 1) AS i FROM stage9_repeat_detailed)) WHERE x IS NOT NULL"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_detailed": _P1,
         "p5_found": f"WITH {_P5} SELECT field_name, key_value FROM prof, total WHERE n_rows * 100 >= total_rows * 7",
         "p5_profile": f"WITH {_P5} SELECT *, n_rows / total_rows AS share FROM prof, total",
         "p6_found": f"WITH {_P6} SELECT r.row_id, r.ref_table, o.orphan_kind FROM refs r JOIN orphans o ON o.ref_table = r.ref_table AND o.k = r.k AND o.day = r.day",
@@ -106,4 +123,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_tables": p1_tables, "p5_found": p5_found, "p5_profile": p5_profile, "p6_found": p6_found, "p6_report": p6_report}
+    return {"p1_found": p1_found, "p1_detailed": p1_detailed, "p1_tables": p1_tables, "p5_found": p5_found, "p5_profile": p5_profile, "p6_found": p6_found, "p6_report": p6_report}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larder.plans import metric_queries, profile_queries, ranking_queries, records, sample_queries, source_queries, text_queries
+from larder.plans import evaluation_queries, metric_queries, profile_queries, ranking_queries, records, sample_queries, source_queries, text_queries
 
-_MODULES = (profile_queries, sample_queries, metric_queries, ranking_queries, source_queries, text_queries)
+_MODULES = (profile_queries, sample_queries, metric_queries, ranking_queries, source_queries, text_queries, evaluation_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

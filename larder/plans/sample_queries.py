@@ -80,7 +80,7 @@ def top_sample_by_id(s, d):
     return samples.sample_by_id(o, 11, 60).select("order_id", "customer_id", "rn")
 
 
-@R.add()
+@R.add(f"WITH {OI} SELECT customer_id FROM (SELECT DISTINCT customer_id FROM oi) ORDER BY md5(customer_id || ':42'), customer_id LIMIT 100")
 def top_random_users(s, d):
     return samples.random_sample(order_items(s, d).select("customer_id").distinct(), "customer_id", 100, 42)
 
@@ -122,18 +122,18 @@ def id_index(rows, column: str):
     """Ids numbered from 0 in sorted order: range-partitioned, counted per partition, then numbered within each."""
     from pyspark.sql.window import Window
 
-    ids = rows.select(column).distinct().repartitionByRange(column).withColumn("part", F.spark_partition_id())
+    ids = durable(rows.select(column).distinct().repartitionByRange(column).withColumn("part", F.spark_partition_id()))  # read twice: the ranges must not be drawn again
     within = ids.withColumn("rn", F.row_number().over(Window.partitionBy("part").orderBy(column)))
     sizes = within.groupBy("part").agg(F.count(F.lit(1)).alias("size"))  # one row per partition
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return within.join(F.broadcast(before.select("part", "before")), "part").select(column, (F.col("before") + F.col("rn") - 1).cast("long").alias("idx"))
 
 
-@R.add()
+@R.add(f"WITH {OI} SELECT count(*) AS n, CAST(sum(CAST('0x' || substr(md5(customer_id || '|' || vendor_id), 1, 15) AS BIGINT)) AS VARCHAR) AS fingerprint FROM oi")
 def cf_interaction_fingerprint(s, d):
     """Content key of the interactions, independent of their order."""
     e = order_items(s, d).select("customer_id", "vendor_id")
-    return e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("customer_id", "vendor_id").cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+    return e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", "customer_id", "vendor_id").cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
 
 
 # --- similarity
