@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -135,6 +137,25 @@ def chat_messages(system: Column, instruction: Column, given: Column, history: C
     return F.concat(first, told, F.array(turn("user", user)))
 
 
+def filled_template(template: str, values: dict[str, Column], required: tuple[str, ...] = ()) -> Column:
+    """A template with its ``{names}`` replaced by columns as text (null as an empty one); doubled braces are braces.
+
+    A required name without a column, or a name of the template without one, is an error before anything runs.
+    """
+    missing = [v for v in required if v not in values]
+    if missing:
+        raise ValueError(f"missing required variables: {missing}")
+    parts = []
+    for said, name, _, _ in Formatter().parse(template):
+        if said:
+            parts.append(F.lit(said))
+        if name is not None:
+            if name not in values:
+                raise ValueError(f"no value for template variable: {name}")
+            parts.append(F.coalesce(values[name].cast("string"), F.lit("")))
+    return F.concat(*parts) if parts else F.lit("")
+
+
 def slug(name: Column) -> Column:
     """Runs of other signs than letters and digits as one underscore; ``agent`` if nothing is left."""
     s = F.regexp_replace(F.regexp_replace(name, r"[^0-9A-Za-z]+", "_"), r"^_+|_+$", "")

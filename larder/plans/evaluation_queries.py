@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from larder.functions import scalars
-from larder.operators import profiles, ranking
+from larder.operators import graph, profiles, ranking
+from larder.operators.supervised import encode_supervised
 from larder.plans.canonical import OI, RES, Registry, results, train
 from larder.plans.metric_queries import RK, ranked
 from larder.plans.ranking_queries import _CANDS, _HIST, candidates, history
 from larder.plans.sample_queries import R as SAMPLES
-from larder.plans.sample_queries import cf_user_jaccard
-from larder.session import table
+from larder.plans.sample_queries import cf_user_jaccard, id_index
+from larder.session import durable, table
 
 R = Registry()
 r6 = lambda c: F.round(c, 6)
@@ -146,6 +147,32 @@ def render_instruction_records(s, d):
     return x.select("result_id", "round_no", F.element_at("m", -1)["content"].alias("user_text"), F.array_join(F.transform(full, lambda y: y["role"]), ",").alias("roles"), F.size("m").alias("n_generation"))
 
 
+@R.add(f"WITH {RES} SELECT result_id, 'Customer ' || coalesce(customer_id, '') || ' at hour ' || coalesce(target_hour::VARCHAR, '') || ': {{' || coalesce(candidate_count::VARCHAR, '') || ' candidates}}' AS prompt FROM res")
+def render_template(s, d):
+    """A template with required variables over columns."""
+    t = "Customer {customer} at hour {hour}: {{{n} candidates}}"
+    values = {"customer": F.col("customer_id"), "hour": F.col("target_hour"), "n": F.col("candidate_count")}
+    return results(s, d).select("result_id", scalars.filled_template(t, values, ("customer", "hour")).alias("prompt"))
+
+
+_MARKER = "<|assistant|>"
+_WORDS = "len(regexp_extract_all({0}, '\\S+'))"
+
+
+@R.add(f"WITH {RES}, t AS (SELECT result_id, {_WORDS.format('round1_prompt')} + 1 AS p, {_WORDS.format('round1_raw_response')} AS a FROM res WHERE round1_raw_response IS NOT NULL) SELECT result_id, CAST(least(p + a, 96) AS INT) AS n_ids, CAST(greatest(least(p + a, 96) - a, 0) AS INT) AS n_masked, CAST(least(a, 96) AS INT) AS n_labels FROM t")
+def encode_masked(s, d):
+    """Chat texts as token ids with the prompt masked and the beginning cut, here by words numbered in a text."""
+    import re
+
+    def by_words():
+        return lambda text: list(range(len(re.findall(r"\S+", text))))
+
+    text = F.concat("round1_prompt", F.lit(f"\n{_MARKER}\n"), "round1_raw_response")
+    t = encode_supervised(results(s, d).select("result_id", text.alias("text")), "result_id", "text", by_words, _MARKER, 96)
+    n_masked = F.size(F.filter("labels", lambda x: x == -100))
+    return t.select("result_id", F.size("input_ids").alias("n_ids"), n_masked.alias("n_masked"), (F.size("labels") - n_masked).alias("n_labels"))
+
+
 # --- reports
 
 @R.add(f"""WITH {_HIST}, seen AS (SELECT result_id, list(DISTINCT cuisine) AS h FROM hist WHERE cuisine IS NOT NULL GROUP BY 1), top AS (SELECT result_id, list(cuisine ORDER BY i) AS r FROM (SELECT result_id, c.cuisine AS cuisine, i FROM (SELECT result_id, unnest(lightgcn_top_cuisines) AS c, generate_subscripts(lightgcn_top_cuisines, 1) AS i FROM res) WHERE c.cuisine IS NOT NULL) GROUP BY 1),
@@ -229,3 +256,31 @@ def rank_similar_histories(s, d):
     back = F.row_number().over(Window.partitionBy("customer_id").orderBy(F.desc("day_num"), F.desc("hour"), F.desc("row_id")))
     last = g.withColumn("back", back).filter("back <= 5").select(F.col("customer_id").alias("b"), "back", "vendor_id", "cuisine")
     return cf_user_jaccard(s, d).join(last, "b").select(F.col("a").alias("customer_id"), F.col("b").alias("similar_customer"), "sim", "back", "vendor_id", "cuisine")
+
+
+#: Places a held-out item is ranked among besides its own.
+NEGATIVES = 100
+
+
+@R.add()
+def graph_trained_ranking(s, d):
+    """Held-out quality of trained vectors: of each customer with three vendors or more the last new one is held out and
+    ranked by dot product among a hundred seeded others; customers, hits at 10, MRR, and the hits of chance."""
+    first = train(s, d).groupBy(F.col("customer_id").alias("user"), F.col("vendor_id").alias("item")).agg(F.min(F.struct("day_num", "hour", "row_id")).alias("at"))
+    w = Window.partitionBy("user")
+    marked = durable(first.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("last", F.row_number().over(w.orderBy(F.desc("at")))).select("user", "item", ((F.col("n") >= 3) & (F.col("last") == 1)).alias("held")))
+    kept = durable(marked.filter("not held").select("user", "item"))
+    vectors = durable(graph.train(kept, dims=32, epochs=20))
+    items = id_index(kept, "item")
+    size = F.broadcast(items.agg(F.count(F.lit(1)).alias("size")))  # one row
+    held = marked.filter("held").join(items.select("item"), "item", "left_semi").select("user", F.col("item").alias("truth"))
+    other = F.explode(F.transform(F.sequence(F.lit(1), F.lit(NEGATIVES)), lambda j: F.pmod(F.xxhash64("user", j), F.col("size"))))
+    drawn = held.crossJoin(size).select("user", "truth", other.alias("idx")).join(items, "idx").filter("item <> truth")
+    asked = drawn.select("user", "item", F.lit(False).alias("own")).unionByName(held.select("user", F.col("truth").alias("item"), F.lit(True).alias("own")))
+    u = vectors.filter("node like 'u:%'").select(F.substring("node", 3, 1 << 30).alias("user"), F.col("v").alias("x"))
+    i = vectors.filter("node like 'i:%'").select(F.substring("node", 3, 1 << 30).alias("item"), F.col("v").alias("y"))
+    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    scored = asked.join(u, "user").join(i, "item").select("user", "own", dot.alias("score"))
+    per = scored.groupBy("user").agg(F.max(F.when(F.col("own"), F.col("score"))).alias("truth"), F.collect_list(F.when(~F.col("own"), F.col("score"))).alias("others"))  # NEGATIVES numbers at most
+    rank = per.select((1 + F.size(F.filter("others", lambda x: x >= F.col("truth")))).alias("rank"), (1 + F.size("others")).alias("among"))
+    return rank.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("rank") <= 10).cast("int")).alias("hit_10"), F.avg(1.0 / F.col("rank")).alias("mrr"), F.avg(F.least(10.0 / F.col("among"), F.lit(1.0))).alias("chance_10"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,3 +49,33 @@ def content_key(df: DataFrame, settings: dict[str, object]) -> str:
     h = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h")).first()
     s = df.sparkSession.range(1).select(F.sha2(F.lit(repr((h.n, str(h.h), sorted(settings.items())))), 256)).first()
     return s[0]
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def cached_stage(spark: SparkSession, base: str, stage: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The rows of a stage kept under ``base/stage/key``, built and written first where no finished ones are there.
+
+    ``key`` names content and settings (``content_key``); a write that was cut off leaves no mark and is done again.
+    """
+    where = f"{base}/{stage}/{key}"
+    fs, mark = _path(spark, f"{where}/_SUCCESS")
+    if not fs.exists(mark):
+        build().write.mode("overwrite").parquet(where)
+    return spark.read.parquet(where)
+
+
+def cached_keys(spark: SparkSession, base: str, stage: str) -> list[str]:
+    """Keys of the finished entries of a stage, in order."""
+    fs, p = _path(spark, f"{base}/{stage}")
+    names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+    return sorted(n for n in names if fs.exists(_path(spark, f"{base}/{stage}/{n}/_SUCCESS")[1]))
+
+
+def clear_stage(spark: SparkSession, base: str, stage: str, key: str | None = None) -> bool:
+    """Remove one entry of a stage, or all of them; whether there was anything."""
+    fs, p = _path(spark, f"{base}/{stage}" + (f"/{key}" if key else ""))
+    return bool(fs.delete(p, True))
