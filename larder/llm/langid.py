@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larder.llm.text import CHUNK, DIMS, LANGUAGES, chunked_grams, grams, label_code, labelled_documents, letters_only, plain, row_sums, sentences, substance
+from larder.llm.text import CHUNK, DIMS, LANGUAGES, chunked_grams, code_grams, grams, label_code, labelled_documents, letter_codes, plain, row_sums, sentences
 
 #: A sentence is compared with the centroids of languages whose mean is at least so near, beside the nearest mean.
 NEAR = 0.6
@@ -59,11 +59,18 @@ class Centroids:
 
     def cosines(self, texts: list[str]) -> np.ndarray:
         """Largest cosine per text and language; of languages whose mean is far off beside the nearest mean, the mean's."""
-        row, dim, count = grams(texts)
+        return self._cosines(len(texts), *grams(texts))
+
+    def read(self, sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of sentences as they are, and their words."""
+        code, size, words = letter_codes(sentences)
+        return self._cosines(len(size), *code_grams(code, size)), words
+
+    def _cosines(self, n: int, row: np.ndarray, dim: np.ndarray, count: np.ndarray) -> np.ndarray:
         w = (1 + np.log(count)) * self.idf[dim]
-        norm = np.sqrt(row_sums(row, w * w, len(texts)))
-        light, cuts = w.astype(np.float32), np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
-        out = np.zeros((len(texts), len(LANGUAGES)), np.float32)
+        norm = np.sqrt(row_sums(row, w * w, n))
+        light, cuts = w.astype(np.float32), np.searchsorted(row, np.arange(n + 1)).tolist()
+        out = np.zeros((n, len(LANGUAGES)), np.float32)
         held = np.empty((int(np.diff(cuts).max(initial=0)), max(self.matrix.shape[1], len(LANGUAGES))), np.float32).reshape(-1)
 
         def dots(i: int, m: np.ndarray) -> np.ndarray:
@@ -72,7 +79,7 @@ class Centroids:
             m.take(dim[lo:hi], axis=0, out=rows, mode="clip")
             return light[lo:hi] @ rows
 
-        some = [i for i in range(len(texts)) if cuts[i] < cuts[i + 1]]
+        some = [i for i in range(n) if cuts[i] < cuts[i + 1]]
         for i in some:
             out[i] = dots(i, self.means)
         close = out >= NEAR * out.max(axis=1, keepdims=True)
@@ -247,9 +254,9 @@ def language_segments(docs: DataFrame, model: Centroids) -> DataFrame:
                 # A sentence that recurs is read once a step.
                 seen: dict[str, int] = {}
                 which = np.array([seen.setdefault(u, len(seen)) for us in units for u in us], np.int64)
-                distinct = [letters_only(u) for u in seen]
-                cos = np.concatenate([model.cosines(distinct[i : i + CHUNK]) for i in range(0, len(distinct), CHUNK)]) if distinct else np.zeros((0, len(LANGUAGES)), np.float32)
-                words = np.array([substance(u)[0] for u in distinct], np.int64)
+                distinct = list(seen)
+                read = [model.read(distinct[i : i + CHUNK]) for i in range(0, max(1, len(distinct)), CHUNK)]
+                cos, words = (np.concatenate(x) for x in zip(*read))
                 rows = []
                 for i, label, segs in zip(ids, labels, all_segments(cos[which], words[which], cuts)):
                     langs = [LANGUAGES[s[0]] for s in segs]

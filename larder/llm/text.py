@@ -83,11 +83,40 @@ def substance(s: str) -> tuple[int, int]:
     return len(s.split()) + signs // 2, len(s.replace(" ", "")) + signs
 
 
+def letter_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``letters_only`` leaves of texts without line breaks, as (code points of all, length of each), and the words
+    of each as ``substance`` counts them, by arrays."""
+    n = len(texts)
+    if not n:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code = np.frombuffer(("\n" + "\n".join(texts) + "\n").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    there = np.flatnonzero(np.bincount(code))
+    kind = np.zeros((int(code.max()) + 1, 2), bool)
+    kind[there] = [(not _NOT_LETTER.match(chr(c)), bool(_CJK.match(chr(c)))) for c in there]
+    letter, line = kind[code, 0], code == 10
+    # The first sign of a run between two letters of a text stays as its blank; a line break is a blank at either side.
+    after = np.r_[False, letter[:-1]] & ~letter & ~line
+    firm = np.flatnonzero(letter | line)
+    start = np.flatnonzero(after)
+    after[start] = letter[firm[np.searchsorted(firm, start)]]
+    times = letter + after + 2 * line.astype(np.int64)
+    out = np.repeat(np.where(letter, code, np.uint32(32)), times)[1:-1]
+    upto = np.cumsum(times)[line] - 2  # of the breaks' two blanks, one on either side
+    row = np.cumsum(line) - 1
+    words = np.bincount(row[letter & ~np.r_[False, letter[:-1]]], minlength=n)[:n]
+    signs = np.bincount(row[kind[code, 1]], minlength=n)[:n]
+    return out, np.diff(upto), words + signs // 2
+
+
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashed n-grams of each text: (row, dimension, count), sorted by row."""
-    size = np.array([len(t) for t in texts], np.int64)
-    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    row = np.repeat(np.arange(len(texts)), size)
+    return code_grams(np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.array([len(t) for t in texts], np.int64))
+
+
+def code_grams(code: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same from the code points of all texts and the length of each."""
+    code = code.astype(np.uint64)
+    row = np.repeat(np.arange(len(size)), size)
     left = np.repeat(np.cumsum(size), size) - np.arange(len(code))
     keys = []
     h = np.zeros(len(code), np.uint64)

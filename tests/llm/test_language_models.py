@@ -183,3 +183,16 @@ def test_recall_of_made_defects(spark, docs):
         hit = [d == defect for (i, *_), (d, _) in zip(some, got) if i % 10 == 0]
         other = [d for (i, *_), (d, _) in zip(some, got) if i % 10 and d]
         assert sum(hit) >= 0.9 * len(hit) and len(other) <= 0.01 * len(some), (defect, sum(hit), len(hit), len(other))
+
+
+def test_letters_by_arrays_equal_letters_by_pattern():
+    rnd = np.random.default_rng(2)
+    signs = list("abcÅäß  ..,-_'12½不葱éİ\u0301\x00ø😀ـм")
+    texts = ["".join(rnd.choice(signs, rnd.integers(0, 12))) for _ in range(500)] + ["", " ", "x", "不 要", "A1b"]
+    code, size, words = T.letter_codes(texts)
+    cuts = np.r_[0, np.cumsum(size)]
+    got = ["".join(map(chr, code[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+    assert got == [T.letters_only(t) for t in texts]
+    assert words.tolist() == [T.substance(T.letters_only(t))[0] for t in texts]
+    assert [x.tolist() for x in T.code_grams(code, size)] == [x.tolist() for x in T.grams(got)]
+    assert [x.tolist() for x in T.letter_codes([])] == [[], [], []]
