@@ -27,8 +27,9 @@ _STRUCT = np.zeros(256, bool)
 _STRUCT[[ord(x) for x in "{}[],:"]] = True
 
 
-#: A slot written behind a plain element, such as `` (Mon 18:00)``: it is no part of the element's key.
-SLOT = r"\s*\((?:[A-Za-z]{2,9}\.? )?\d{1,2}:\d{2}(?::\d{2})?\)\s*$"
+#: An element of several parts written as one text is ``vendor||cuisine (slot)``: what stands in brackets at its end is
+#: the slot, however that is written, and no part of the key.
+SLOT = r"\s*\([^()]*\)\s*$"
 
 
 @dataclass(frozen=True)
