@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larder.functions import scalars
-from larder.operators import profiles, samples, similarity
+from larder.operators import nearest, profiles, samples, similarity
 from larder.plans.canonical import OI, RES, Registry, order_items, results, test, train
 from larder.plans.profile_queries import ACTIVE, repeat_rows
 from larder.session import durable, table
@@ -178,7 +178,7 @@ def cf_user_swing(s, d):
 cs AS (SELECT x.customer_id AS a, y.customer_id AS b, sum(x.n * y.n) / (any_value(p.norm) * any_value(q.norm)) AS sim FROM c x JOIN c y ON x.vendor_id = y.vendor_id AND x.customer_id <> y.customer_id JOIN nm p ON p.customer_id = x.customer_id JOIN nm q ON q.customer_id = y.customer_id WHERE x.customer_id IN (SELECT customer_id FROM query_users) GROUP BY 1, 2) {_TOP.format(t='cs', k=5)}""")
 def cf_user_cosine(s, d):
     c = durable(train(s, d).groupBy("customer_id", "vendor_id").agg(F.count(F.lit(1)).alias("n")))
-    return similarity.top_similar(similarity.cosine(c, "customer_id", "vendor_id", query_users(s, d)), 5).withColumn("sim", r6("sim"))
+    return nearest.nearest(c, "customer_id", "vendor_id", query_users(s, d), 5, "cosine").withColumn("sim", r6("sim"))
 
 
 @R.add(f"""WITH {OI}, {ACTIVE}, {_QUERY}, e AS (SELECT DISTINCT customer_id, vendor_id FROM train), dg AS (SELECT customer_id, count(*) AS deg FROM e GROUP BY 1),
