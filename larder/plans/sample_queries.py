@@ -184,7 +184,7 @@ def cf_user_cosine(s, d):
 @R.add(f"""WITH {OI}, {ACTIVE}, {_QUERY}, e AS (SELECT DISTINCT customer_id, vendor_id FROM train), dg AS (SELECT customer_id, count(*) AS deg FROM e GROUP BY 1),
 jc AS (SELECT x.customer_id AS a, y.customer_id AS b, count(*) / (any_value(p.deg) + any_value(q.deg) - count(*)) AS sim FROM e x JOIN e y ON x.vendor_id = y.vendor_id AND x.customer_id <> y.customer_id JOIN dg p ON p.customer_id = x.customer_id JOIN dg q ON q.customer_id = y.customer_id WHERE x.customer_id IN (SELECT customer_id FROM query_users) GROUP BY 1, 2) {_TOP.format(t='jc', k=5)}""")
 def cf_user_jaccard(s, d):
-    return similarity.top_similar(similarity.jaccard(vendor_edges(train(s, d)), "customer_id", "vendor_id", query_users(s, d)), 5).withColumn("sim", r6("sim"))
+    return nearest.nearest(vendor_edges(train(s, d)), "customer_id", "vendor_id", query_users(s, d), 5, "jaccard").withColumn("sim", r6("sim"))
 
 
 _CAND = f"""seen AS (SELECT DISTINCT customer_id, vendor_id AS item FROM train), near AS (SELECT s.customer_id, sw.a, sw.b, sw.sim FROM seen s JOIN sw ON sw.a = s.item WHERE NOT EXISTS (SELECT 1 FROM seen z WHERE z.customer_id = s.customer_id AND z.item = sw.b)),
