@@ -171,7 +171,7 @@ _ITEM = "vendor_id || '||' || product_id"
 sw AS (SELECT x.customer_id AS a, y.customer_id AS b, sum(1.0 / (di.deg + 1.0)) * pow(any_value(p.deg) + 5.0, -0.3) * pow(any_value(q.deg) + 5.0, -0.3) AS sim FROM edges x JOIN edges y ON x.item = y.item AND x.customer_id <> y.customer_id JOIN di ON di.item = x.item JOIN du p ON p.customer_id = x.customer_id JOIN du q ON q.customer_id = y.customer_id WHERE x.customer_id IN (SELECT customer_id FROM query_users) GROUP BY 1, 2) {_TOP.format(t='sw', k=5)}""")
 def cf_user_swing(s, d):
     edges = durable(train(s, d).select("customer_id", F.concat_ws("||", "vendor_id", "product_id").alias("item")).distinct())
-    return similarity.top_similar(similarity.swing(edges, "customer_id", "item", query_users(s, d)), 5).withColumn("sim", r6("sim"))
+    return nearest.nearest(edges, "customer_id", "item", query_users(s, d), 5, "swing").withColumn("sim", r6("sim"))
 
 
 @R.add(f"""WITH {OI}, {ACTIVE}, {_QUERY}, c AS (SELECT customer_id, vendor_id, count(*) AS n FROM train GROUP BY 1, 2), nm AS (SELECT customer_id, sqrt(sum(n * n)::DOUBLE) AS norm FROM c GROUP BY 1),
