@@ -20,7 +20,7 @@ from larder.operators.similarity import ALPHA1, ALPHA2, BETA, degrees, top_simil
 from larder.session import durable, shuffle_width
 
 #: Edges of a chunk of entities and queries of a block, as one task holds them; copies of all edges made for parallelism alone.
-CHUNK_EDGES, BLOCK_QUERIES, COPIES = 4_000_000, 1 << 18, 12
+CHUNK_EDGES, BLOCK_QUERIES, COPIES = 2_000_000, 1 << 16, 12
 #: Elements of a chunk that are counted by classes of entities instead of pairs, and the rows from which one is.
 HOT, HOT_ROWS = 8, 256
 #: Pairs, and rows to be packed, that are held at once.

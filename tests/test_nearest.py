@@ -16,7 +16,7 @@ def exchanged(spark):
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("query", ["cf_user_cosine", "rank_similar_histories", "cf_user_swing"])
+@pytest.mark.parametrize("query", ["cf_user_cosine", "rank_similar_histories", "cf_user_jaccard", "cf_user_swing"])
 def test_customers_of_one_hot_vendor_exchange_no_pairs(spark, monkeypatch, query):
     n = 300
     rows = spark.range(n * 6).select(F.col("id").alias("row_id"), F.col("id").alias("order_id"), F.concat(F.lit("c"), F.lpad((F.col("id") % n).cast("string"), 3, "0")).alias("customer_id"), F.when(F.col("id") < n, F.concat(F.lit("v"), (F.col("id") % 70).cast("string"))).otherwise("hot").alias("vendor_id"), F.lit("p").alias("product_id"), F.lit("x").alias("cuisine"), F.lit(1).alias("day_num"), F.lit(1).alias("hour"))
